@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm import ngram_join
+
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), percent=80, words=5)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm import warc
     from sievemark.llm.common import new_path
@@ -41,6 +47,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
 
 SQL: dict[str, str] = {}
