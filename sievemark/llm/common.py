@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def bounded_chunks(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
     """Slices of a batch with about so many bytes of text at most (one row at least)."""
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > chars:

@@ -2,7 +2,8 @@
 
 Shingles are ordered from rare to frequent. Of two sets with a Jaccard similarity of t or more,
 the first |x| - ceil(t |x|) + l shingles of each (the l-prefixes) have l in common, for every l up to
-the overlap. A document takes the longer prefixes the more candidates its shingles' frequencies
+the overlap; and more, where the pair's own least overlap, t / (1 + t) of both sizes, is above ceil(t |x|).
+A document takes the longer prefixes the more candidates its shingles' frequencies
 promise, and a pair needs as many prefix shingles in common as the smaller of its two l asks.
 
 1. Every shingle's document frequency is counted, in blobs of truncated hashes by range, and kept as
@@ -34,7 +35,7 @@ WORDS = 5
 #: Slots of the frequency table (a byte each, broadcast), and the hash bits that a count tells apart below those of its range.
 TABLE_BITS, COUNT_BITS = 24, 32
 #: Candidates that a document may expect before its prefix grows, and the longest multi-match.
-EXPECTED, MOST_MATCHES = 8, 16
+EXPECTED, MOST_MATCHES = 8, 8
 
 _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 1) & (2**64 - 1) | 1) for k in range(1, 65)]
 
@@ -175,10 +176,15 @@ def profiles(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFram
     return materialise(documents(docs, "doc_id", "text").mapInArrow(run, fields), "profiles")
 
 
-def _alike(a: Column | str, b: Column | str, percent: int) -> Column:
+def _alike(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _asked(a: str, b: str, matches: Column, percent: int) -> Column:
+    """The prefix tokens that documents of sizes a and b must have in common at this l: each l-prefix leaves ceil(t n) - l tokens out."""
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent} - ({percent} * greatest({a}, {b}) + 99) div 100") + matches
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose whole sets link, with their intersection and union sizes."""
     spark = pairs.sparkSession
@@ -208,11 +214,12 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     by_component = postings.groupBy("token", "component").agg(F.count("*").alias("size"))
     mixed = by_component.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).where("parts > 1")
     rows = postings.join(mixed.select("token", F.col("largest.component").alias("main")), "token")
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "matches", "level", "component")], *(["main"] if s == "b" else []))
+    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "matches", "level", "component", "held")], *(["main"] if s == "b" else []))
     few, all_of = side(rows.where("component <> main"), "a"), side(rows, "b")
-    asked = F.least("matches_a", "matches_b")
+    least = F.least("matches_a", "matches_b")
+    asked = _asked("n_a", "n_b", least, percent)
     once = (F.col("component_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b"))
-    met = few.join(all_of, (few["token"] == all_of["token"]) & (F.col("component_a") != F.col("component_b")) & once & _alike("n_a", "n_b", percent) & (F.col("level_a") <= asked) & (F.col("level_b") <= asked))
+    met = few.join(all_of, (few["token"] == all_of["token"]) & (F.col("component_a") != F.col("component_b")) & once & _alike("n_a", "n_b", percent) & (F.col("level_a") <= least) & (F.col("level_b") <= least) & (asked <= F.least("held_a", "held_b")))
     counted = met.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(F.count("*").alias("hits"), F.min(asked).alias("asked"))
     return counted.where("hits >= asked").select("a", "b")
 
@@ -231,18 +238,19 @@ def join_components(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     stand = classes.select(F.col("class_id").alias("doc_id")).distinct()
     with_tokens = named.where(F.size("tokens") > 0)
     sets = with_tokens.select("doc_id", "hashes")
-    exploded = with_tokens.join(stand, "doc_id", "left_semi").select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select("doc_id", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
-    pivots = exploded.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("p")).where("size > 1").select("token", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    exploded = with_tokens.join(stand, "doc_id", "left_semi").select("doc_id", "n", "matches", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select("doc_id", "n", "matches", "held", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
+    pivots = exploded.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n", "held")).alias("p")).where("size > 1").select("token", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.held").alias("pivot_held"))
     postings = materialise(exploded.join(pivots, "token"), "postings")
 
     # stars: each document against the pivot with which it shares most prefix tokens
-    met = postings.where((F.col("doc_id") != F.col("pivot")) & _alike("n", "pivot_n", percent)).groupBy("doc_id", "pivot").agg(F.count("*").alias("hits"))
+    could = _alike("n", "pivot_n", percent) & (_asked("n", "pivot_n", F.lit(1), percent) <= F.least("held", "pivot_held"))
+    met = postings.where((F.col("doc_id") != F.col("pivot")) & could).groupBy("doc_id", "pivot").agg(F.count("*").alias("hits"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("pivot")).alias("p"))).alias("m")).select(F.col("doc_id").alias("a"), (-F.col("m.p")).alias("b"))
     links = materialise(verified(best, sets, percent).select("a", "b"), "links")
     found = components(links)
 
     # what different components may still have in common
-    labelled = postings.select("token", "doc_id", "n", "matches", "level").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = postings.select("token", "doc_id", "n", "matches", "held", "level").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     more = materialise(verified(_candidates(materialise(labelled, "labelled"), percent), sets, percent).select("a", "b"), "links")
     final = components(links.unionByName(more))
 
@@ -258,5 +266,5 @@ def join_pairs(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFr
     named = known.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     stand = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     with_tokens = named.where(F.size("tokens") > 0).join(stand, "doc_id", "left_semi")
-    postings = with_tokens.select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select(F.col("t.tokens").alias("token"), "doc_id", "n", "matches", F.col("t.levels").alias("level"), F.col("doc_id").alias("component"))
+    postings = with_tokens.select("doc_id", "n", "matches", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select(F.col("t.tokens").alias("token"), "doc_id", "n", "matches", "held", F.col("t.levels").alias("level"), F.col("doc_id").alias("component"))
     return verified(_candidates(materialise(postings, "postings"), percent), with_tokens.select("doc_id", "hashes"), percent).distinct()
