@@ -16,6 +16,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"), percent=80, words=5)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm import pii
+
+    return pii.query(_table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm import html_text
 
@@ -59,6 +65,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_html_text, op5_sharding, op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_html_text, op5_sharding, op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
 
 SQL: dict[str, str] = {}
