@@ -28,12 +28,24 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm import decontaminate
+
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm import sharding
 
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm import quality
+
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievemark.llm import warc
     from sievemark.llm.common import new_path
@@ -65,6 +77,6 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_html_text, op5_sharding, op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_html_text, op4_decontaminate, op5_sharding, op6_quality, op7_warc, op8_fingerprint, op9_bpe, op10_sstable)}
 
 SQL: dict[str, str] = {}
