@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,9 @@ def file_level_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.merged(B.matches(B.prose_units(FP.fingerprints(_docs(spark, sf_dir)))))
+    # kept once for both sides of the self-join; also keeps its filters from being pushed into the array expressions
+    prints = FP.fingerprints(_docs(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+    return B.merged(B.matches(B.prose_units(prints)))
 
 
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +189,7 @@ SELECT doc_id_a, doc_id_b, n_blocks, n_high, round(mean, 3) AS avg_density, simi
     "report_metadata": f"WITH {_WEIGHTS}, c AS (SELECT count(*) AS students FROM documents) SELECT students, students * (students - 1) // 2 AS possible_pairs, (SELECT count(*) FROM pr) AS candidates FROM c",
     "anon_labels": f"""WITH {_WEIGHTS}, top AS (SELECT * FROM wj ORDER BY similarity DESC, doc_id_a, doc_id_b LIMIT 20),
 r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, doc_id_a, doc_id_b) AS rn FROM top),
-x AS (SELECT doc_id_a AS doc_id, rn * 2 AS at FROM r UNION ALL SELECT doc_id_b, rn * 2 + 1 FROM r),
-f AS (SELECT doc_id, row_number() OVER (ORDER BY min(at)) - 1 AS rk FROM x GROUP BY doc_id)
+x AS (SELECT doc_id_a AS doc_id, rn * 2 AS spot FROM r UNION ALL SELECT doc_id_b, rn * 2 + 1 FROM r),
+f AS (SELECT doc_id, row_number() OVER (ORDER BY min(spot)) - 1 AS rk FROM x GROUP BY doc_id)
 SELECT doc_id, 'Student ' || CASE WHEN rk < 26 THEN chr(CAST(65 + rk AS INT)) ELSE chr(CAST(65 + (rk - 26) // 26 AS INT)) || chr(CAST(65 + rk % 26 AS INT)) END AS label FROM f""",
 }
