@@ -38,7 +38,7 @@ def matches(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     known = prints.where("unit_start is not null")
     side = lambda s: known.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in (key, "start", "end", "unit_start", "unit_end")])
     a, b = side("a"), side("b")
-    return a.join(b, (a["hash"] == b["hash"]) & (a[f"{key}_a"] < b[f"{key}_b"])).drop(b["hash"])
+    return a.join(b, "hash").where(F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
 def merged(found: DataFrame, key: str = "doc_id") -> DataFrame:
