@@ -182,7 +182,7 @@ def test_op2_values(spark):
     text = "card 4111 1111 1111 1111, 4111111111111111; 2021-02-28; 10.1.2.3; GB82 WEST 1234 5698 7654 32; ssn 123-45-6789; not 4111 1111 1111 1112 nor 2021-02-30"
     rows = pseudonymise(spark.createDataFrame([(1, text), (2, "4111111111111111")], "doc_id long, text string")).orderBy("doc_id").collect()
     out = rows[0]["text"]
-    assert re.sub(r"[0-9]", "0", out) == re.sub(r"[0-9]", "0", text)
+    assert re.sub(r"[0-9]+", "0", out) == re.sub(r"[0-9]+", "0", text)
     a, b = re.match(r"card ([0-9 ]{19}), ([0-9]{16});", out).groups()
     assert a.replace(" ", "") == b == rows[1]["text"] != "4111111111111111"
     assert sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, b))) % 10 == 0
