@@ -7,7 +7,7 @@ A document takes the longer prefixes the more candidates its shingles' frequenci
 promise, and a pair needs as many prefix shingles in common as the smaller of its two l asks.
 
 1. Every shingle's document frequency is counted, in blobs of truncated hashes by range, and kept as
-   a table of fixed size with the logarithm of the count; any table gives right results, a better one fewer candidates.
+   a table of fixed size with the logarithm of the count, and a bitmap of those in several documents; any table gives right results, a better one fewer candidates.
 2. Per document: set size, digest of the set, prefix and set. Documents with equal sets are one class,
    stood for by the smallest doc_id.
 3. Stars: in the postings of each shingle, every document is verified against one pivot; links make components.
@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, release_shuffles, texts_of
 from sievemark.llm.components import components
 
 WORDS = 5
 #: Slots of the frequency table (a byte each, broadcast), and the hash bits that a count tells apart below those of its range.
 TABLE_BITS, COUNT_BITS = 24, 32
+#: Slots of the bitmap of shingles that may be in several documents (a bit each, broadcast beside the table).
+SHARED_BITS = 28
 #: Candidates that a document may expect before its prefix grows, and the longest multi-match.
 EXPECTED, MOST_MATCHES = 8, 8
 
@@ -70,11 +72,12 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """For each slot of hashes the largest logarithm (base 2, rounded down) of a shingle's number of documents.
+def frequency_table(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of hashes the largest logarithm (base 2, rounded down) of a shingle's number of documents, and the shared bits.
 
-    0 says that every shingle of the slot is in one document. Where over half of a range's slots would be
-    marked, only its frequent shingles are, and its other slots say 1.
+    Where over half of a range's slots would be marked, only its frequent shingles are. A bit
+    is set where a shingle of its (finer) slot is in several documents; where too many are, so are all bits,
+    and more candidates are tried. Both are of fixed size.
     """
     spark = docs.sparkSession
     range_bits = min(16, max(4, (4 * n_shuffle(spark) - 1).bit_length()))
@@ -104,8 +107,8 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         if size:
             yield flush()
 
-    slots = 1 << (TABLE_BITS - range_bits)
-    sliced = spark.createDataFrame([], "r int, slots binary").schema
+    slots, fine = 1 << (TABLE_BITS - range_bits), 1 << (SHARED_BITS - range_bits)
+    sliced = spark.createDataFrame([], "r int, slots binary, shared binary").schema
     slice_schema = arrow_schema(sliced)
 
     def gather(table: pa.Table) -> pa.Table:
@@ -122,28 +125,37 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         out, least = np.zeros(slots, np.uint8), 1
         while (logs >= least).sum() > slots // 2:
             least += 1
-        if least > 1:
-            out[:] = 1
         marked = logs >= least
         np.maximum.at(out, keys[marked] >> np.uint32(COUNT_BITS - (TABLE_BITS - range_bits)), logs[marked])
-        return pa.Table.from_batches([batch_of(slice_schema, [[table.column("r")[0].as_py()], [out.tobytes()]])])
+        bits = np.zeros(fine, bool)
+        bits[keys[totals > 1] >> np.uint32(COUNT_BITS - (SHARED_BITS - range_bits))] = True
+        return pa.Table.from_batches([batch_of(slice_schema, [[table.column("r")[0].as_py()], [out.tobytes()], [np.packbits(bits).tobytes()]])])
 
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    # a slice of fixed size for each range: 2**TABLE_BITS bytes in all, whatever the input
+    table, shared = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(1 << (SHARED_BITS - 3), np.uint8)
+    # slices of fixed size for each range: 2**TABLE_BITS and 2**SHARED_BITS / 8 bytes in all, whatever the input
     for row in documents(docs, "text").mapInArrow(count, fields).groupBy("r").applyInArrow(gather, sliced).toLocalIterator():
         table[row["r"] * slots : (row["r"] + 1) * slots] = np.frombuffer(row["slots"], np.uint8)
-    return table
+        shared[row["r"] * fine // 8 : (row["r"] + 1) * fine // 8] = np.frombuffer(row["shared"], np.uint8)
+    return table, shared
 
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix_of(shingles: np.ndarray, table: np.ndarray, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+def classes_of(shingles: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles' frequency classes: 0 for those of one document, else 1 at least."""
+    table, shared = tables
+    slot = (shingles >> np.uint64(64 - SHARED_BITS)).astype(np.int64)
+    several = (shared[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+    return several * np.maximum(1, table[slot >> (SHARED_BITS - TABLE_BITS)])
+
+
+def prefix_of(shingles: np.ndarray, tables: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The matches a document asks for, its prefix's shingles that may be in others, and for each the least l whose prefix has it."""
     n = len(shingles)
     need = _needed(n, percent)
-    classes = table[(shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    classes = classes_of(shingles, tables)
     order = np.argsort(classes, kind="stable")
     expected = np.cumsum(np.where(classes[order] > 0, 2.0 ** classes[order] - 1, 0))
     matches = 1
@@ -159,6 +171,7 @@ def profiles(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFram
     """doc_id, n, digest, matches, tokens, levels, hashes of every document, written to the shared folder; hashes only where a token may be shared."""
     spark = docs.sparkSession
     shared_table = spark.sparkContext.broadcast(frequency_table(docs, words))
+    release_shuffles(spark)
     fields = spark.createDataFrame([], "doc_id long, n long, digest binary, matches int, tokens array<long>, levels array<int>, hashes binary").schema
     out_schema = arrow_schema(fields)
 
@@ -232,6 +245,7 @@ def join_components(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     Rows with a null doc_id are kept, link with nothing and have null ids. Rows with one doc_id are
     one node: links of either count. No row gives no row.
     """
+    spark = docs.sparkSession
     known = profiles(docs, percent, words)
     named = known.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
@@ -241,6 +255,7 @@ def join_components(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     exploded = with_tokens.join(stand, "doc_id", "left_semi").select("doc_id", "n", "matches", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select("doc_id", "n", "matches", "held", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
     pivots = exploded.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n", "held")).alias("p")).where("size > 1").select("token", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.held").alias("pivot_held"))
     postings = materialise(exploded.join(pivots, "token"), "postings")
+    release_shuffles(spark)
 
     # stars: each document against the pivot with which it shares most prefix tokens
     could = _alike("n", "pivot_n", percent) & (_asked("n", "pivot_n", F.lit(1), percent) <= F.least("held", "pivot_held"))
