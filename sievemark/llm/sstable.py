@@ -13,6 +13,7 @@ A value is the document's ids, 2 bytes each where the vocabulary allows, else 4.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -180,7 +181,7 @@ class ShardReader:
 
 
 #: The largest tokenizer file that is sent to the executors; cached words of a worker and their longest length.
-MAX_TOKENIZER_BYTES, CACHE_ENTRIES, CACHE_LENGTH = 64 << 20, 600_000, 64
+MAX_TOKENIZER_BYTES, CACHE_ENTRIES, CACHE_LENGTH = 64 << 20, 400_000, 64
 
 
 class WordEncoder:
@@ -214,6 +215,15 @@ class WordEncoder:
         return [np.frombuffer(b"".join(ws), "<u4") for ws in words]
 
 
+def _per_worker(tokenizer_json: str, _kept: dict = {}) -> WordEncoder:  # noqa: B006
+    """One encoder for each Python worker, so that its tasks share the words known; one thread, as tasks fill the cores."""
+    if tokenizer_json not in _kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _kept.clear()
+        _kept[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _kept[tokenizer_json]
+
+
 def _open(uri: str):
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     return fs, path
@@ -242,7 +252,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, root: str, end_id: int |
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = WordEncoder(shared.value), TaskContext.get().partitionId()
+        encoder, shard = _per_worker(shared.value), TaskContext.get().partitionId()
         fs, path = _open(root)
         writer = None
         name, temporary = f"{path}/shard-{shard:06d}.sst", f"{path}/.{uuid.uuid4().hex}"
