@@ -1,10 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-The page is cut into lines at block-level tags; markup goes, and what declares itself as
-no article (menus, forms, adverts, comments and so on) leaves empty lines. The distribution is the sum of
-the lines' text lengths over windows of WINDOW lines. Text starts where it surges to SURGE and ends where it dives
-below DIVE; what lies between is kept, and of several such stretches those that are not
-small beside the largest. Where a page marks its article, a line within it counts as a surge by itself, and lines outside count nothing.
+The page is cut into lines at block-level tags; markup goes, and so does what declares itself as
+no article (menus, forms, adverts, comments and so on), without parting the text around it. Where a page marks
+articles, the lines within them are kept, all of them, and no others. Else lines count as text or, where more than half of one is
+within links, as links; WINDOW or more lines of links on end are a list. Text is kept whatever its length, and so are fewer lines
+of links between text; lists go, as do links before or behind all text.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, texts_of
 
-WINDOW, SURGE, DIVE, SHARE = 3, 80, 20, 0.25
+WINDOW = 3
 
 #: Fixed values of HTML: elements without content, with raw text, that start a line, and that hold others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,8 +82,6 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         _, was_dropped, was_region = stack.pop()
         if was_dropped:
             dropped -= 1
-            if not dropped:
-                out.extend([("", 0, region)] * WINDOW)
         if was_region:
             region = 0
 
@@ -136,39 +135,14 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _stretches(weights: list[int], texts: list[str]) -> list[tuple[int, int]]:
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    found, i = [], 0
-    while i < len(sums):
-        if sums[i] >= SURGE and weights[i]:
-            j = i + 1
-            while j < len(sums) and sums[j] >= DIVE:
-                j += 1
-            while j < len(sums) and j - i < len(sums) and texts[j] and weights[j]:
-                j += 1  # the window that dives still holds text of this stretch
-            found.append((i, j))
-            i = j
-        i += 1
-    return found
-
-
 def main_text(page: str) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     lines = lines_of(page)
-    size: dict[int, int] = {}
-    for text, _, region in lines:
-        size[region] = size.get(region, 0) + len(text)
-    marked = max((r for r in size if r), key=lambda r: (size[r], -r), default=0)
-    if marked:
-        weights = [len(t) + SURGE if t and r == marked else 0 for t, _, r in lines]
-    else:
-        weights = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines]
-    texts = [t for t, _, _ in lines]
-    found = _stretches(weights, texts)
-    if not marked and found:
-        totals = [sum(weights[a:b]) for a, b in found]
-        found = [s for s, t in zip(found, totals, strict=True) if t >= SHARE * max(totals)]
-    return "\n\n".join(texts[i] for a, b in found for i in range(a, b) if texts[i] and (weights[i] or not marked))
+    if any(region for *_, region in lines):
+        return "\n\n".join(text for text, _, region in lines if region)
+    runs = [(links, [text for text, *_ in run]) for links, run in groupby(lines, lambda line: 2 * line[1] > len(line[0]))]
+    kept = [texts for i, (links, texts) in enumerate(runs) if not links or (len(texts) < WINDOW and 0 < i < len(runs) - 1)]
+    return "\n\n".join(text for texts in kept for text in texts)
 
 
 def extract(pages: DataFrame) -> DataFrame:
