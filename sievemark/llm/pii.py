@@ -22,14 +22,16 @@ DEFAULT_KEY = "not a secret"
 
 EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 ACCESS_KEY = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])"
-SECRET = r"""(?<=[Pp]assword=)[^\s"']{4,256}|(?<=[Tt]oken = ")[^\s"]{8,256}|(?<=[Tt]oken=)[^\s"']{8,256}"""
+#: Up to the closing quote or, without quotes, to the next space or quote.
+SECRET = r"""(?<=[Pp]assword=)[^\s"']{4,}|(?<=[Tt]oken = ")(?:[^"\r\n]{8,}+(?=")|[^\s"]{8,})|(?<=[Tt]oken=)[^\s"']{8,}"""
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9])"
-ANY = "|".join((EMAIL, ACCESS_KEY, SECRET, IBAN, ADDRESS, DATE, SOCIAL, CARD, PHONE))
+CARD = r"(?<![0-9])(?:[0-9]{4}(?<between>[ -])[0-9]{4}\k<between>[0-9]{4}\k<between>[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\3[0-9]{4}(?![0-9])"
+#: Group 1 tells secrets, which come first: what else is found within one is no value by itself.
+ANY = "|".join((f"({SECRET})", EMAIL, ACCESS_KEY, IBAN, ADDRESS, DATE, SOCIAL, CARD, PHONE))
 
 #: Days of a block of dates, as a * b; blocks count from 1900-01-01.
 DAYS_A = DAYS_B = 270
@@ -126,7 +128,6 @@ def _phone(key: str) -> tuple[str, str]:
 def _rules(key: str) -> list[tuple[str, str, str, str]]:
     """Kind, whole pattern, further test and replacement in SQL over a match m."""
     letters = lambda tag, n: f"translate(substr(sha2(concat_ws('|', {_text(key)}, '{tag}', lower(m)), 256), 1, {n}), '0123456789abcdef', 'ghijklmnopqrstuv')"
-    long_hex = f"substr(repeat(sha2(concat_ws('|', {_text(key)}, 'secret', m), 256), 4), 1, length(m))"
     upper = f"concat('AKIA', substr(upper(sha2(concat_ws('|', {_text(key)}, 'key', m), 256)), 1, 16))"
     return [
         ("email", EMAIL, "true", f"concat({letters('local', 12)}, '@', substr({letters('domain', 40)}, 30, 8), '.example.net')"),
@@ -137,10 +138,14 @@ def _rules(key: str) -> list[tuple[str, str, str, str]]:
         ("social", SOCIAL, *_social(key)),
         ("card", CARD, *_card(key)),
         ("phone", PHONE, *_phone(key)),
-        ("secret", r".*[^0-9 ().+-].*", f"not m like '%@%' and not m rlike {_text('^(?:' + IBAN + ')$')}", long_hex),
     ]
 
 
+def _secret(key: str) -> str:
+    """SQL for hex digits, as many as m has characters."""
+    return f"substr(repeat(sha2(concat_ws('|', {_text(key)}, 'secret', m), 256), cast(length(m) div 64 + 1 as int)), 1, length(m))"
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """The columns of docs with text pseudonymised, and n_replaced and kinds (sorted, distinct) behind them.
 
@@ -151,10 +156,12 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "kinds")]
     pattern = _text(ANY)
     cases = " ".join(f"when m rlike {_text('^(?:' + p + ')$')} and {test} then named_struct('k', '{kind}', 't', {body})" for kind, p, test, body in _rules(key))
-    replaced = f"transform(found, m -> coalesce(case {cases} end, named_struct('k', cast(null as string), 't', m)))"
-    found = f"case when text rlike '[0-9@]|[Pp]assword=|[Tt]oken ?=' then regexp_extract_all(text, {pattern}, 0) else cast(array() as array<string>) end"
+    cases = f"when get(found.secrets, i) <> '' then named_struct('k', 'secret', 't', {_secret(key)}) {cases}"
+    replaced = f"transform(found.all, (m, i) -> coalesce(case {cases} end, named_struct('k', cast(null as string), 't', m)))"
+    extract = lambda where, group: f"case when text rlike '{where}' then regexp_extract_all(text, {pattern}, {group}) else cast(array() as array<string>) end"
+    found = f"named_struct('all', {extract('[0-9@]|[Pp]assword=|[Tt]oken ?=', 0)}, 'secrets', {extract('[Pp]assword=|[Tt]oken ?=', 1)})"
     step = docs.select(*kept, F.expr(found).alias("found"))
-    step = step.select(*kept, F.expr(f"case when size(found) > 0 then {replaced} else cast(array() as array<struct<k:string,t:string>>) end").alias("new"))
+    step = step.select(*kept, F.expr(f"case when size(found.all) > 0 then {replaced} else cast(array() as array<struct<k:string,t:string>>) end").alias("new"))
     joined = _let("p", f"split(text, {pattern}, -1)", "aggregate(sequence(1, size(new)), p[0], (acc, i) -> concat(acc, new[i - 1].t, p[i]))")
     text = F.expr(f"case when size(new) > 0 then {joined} else text end").alias("text")
     kinds = F.expr("filter(transform(new, s -> s.k), k -> k is not null)")
