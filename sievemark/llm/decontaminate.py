@@ -3,7 +3,7 @@
 An item of n normalised characters has a budget of k = floor(ERROR_RATE * n) edits and is split into
 k + 1 pieces. Where a document holds the item with k edits at most, one piece at least is whole. All pieces
 are sought in one pass over each document; around each hit, a window as long as the item and twice its budget is
-verified. Items go to the tasks in blocks of bounded size, each block meets all documents.
+verified. Items of fewer than MIN_CHARS characters have no budget and count on word borders only. Items go to the tasks in blocks of bounded size, each block meets all documents.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, texts_of
 
-#: Edits for each character of an item, and characters below which an item is too short to tell.
+#: Edits for each character of an item, and characters below which an item is too short for edits.
 ERROR_RATE, MIN_CHARS = 0.08, 25
 #: Bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 4_000_000
 
 _SPACE = re.compile(r"\s+")
+#: Two characters of one word: none is of a script that is written without spaces (Thai to Khmer, Chinese, Japanese).
+_INSIDE = re.compile(r"(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])\w){2}")
 
 
 def normalised(text: str | None) -> str:
@@ -38,6 +40,11 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def on_borders(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins and ends no word in its midst."""
+    return not any(0 < at < len(text) and _INSIDE.match(text, at - 1) for at in (start, end))
+
+
 def masks(item: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(item):
@@ -68,8 +75,9 @@ def distance_in(found: dict[str, int], size: int, text: str) -> tuple[int, int]:
 class Matcher:
     """All items of a block: id, text and budget, with one automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(rate * len(t)), masks(t)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS):
+        self.min_chars = min_chars
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= min_chars else 0, masks(t)) for i, t in items]
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget, _) in enumerate(self.items):
             for start, piece in pieces(text, budget):
@@ -82,11 +90,16 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """item id, least distance and end (in the normalised text) for every item within its budget."""
         windows: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, int] = {}  # where the first one ends
         if not self.items:
             return []
         for end, (length, where) in self.automaton.iter(text):
             for n, start in where:
                 _, item, budget, _ = self.items[n]
+                if len(item) < self.min_chars:
+                    if n not in short and on_borders(text, end + 1 - length, end + 1):
+                        short[n] = end + 1
+                    continue
                 low = end + 1 - length - start - budget
                 held = windows.setdefault(n, [])
                 # hits come in order of their ends: what touches the window before lengthens it
@@ -94,7 +107,7 @@ class Matcher:
                     held[-1] = held[-1][0], max(held[-1][1], low + len(item) + 2 * budget)
                 else:
                     held.append((low, low + len(item) + 2 * budget))
-        out = []
+        out = [(self.items[n][0], 0, end) for n, end in short.items()]
         for n, held in windows.items():
             name, item, budget, found = self.items[n]
             best = (budget + 1, 0)
@@ -111,7 +124,7 @@ class Matcher:
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, edits, end_char (in the normalised text).
 
-    Items shorter than min_chars (null and empty ones too) match nothing; null and empty texts hold nothing.
+    Items shorter than min_chars match without edits, on word borders; null and empty items match nothing, null and empty texts hold nothing.
     Repeated items and documents give rows each; a null doc_id or item_id stays null. Of equally good places the first is told.
     """
     spark = docs.sparkSession
@@ -125,11 +138,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
     def against(block: int) -> DataFrame:
         # a block of bounded size (or one item, if that is longer)
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block).toLocalIterator()
-        texts = [(r["item_id"], t) for r in own if len(t := normalised(r["item"])) >= min_chars]
+        texts = [(r["item_id"], t) for r in own if (t := normalised(r["item"]))]
         shared = spark.sparkContext.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 for part in bounded_chunks(batch, "text"):
                     out: list[list] = [[], [], [], []]
