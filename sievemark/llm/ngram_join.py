@@ -11,8 +11,12 @@ promise, and a pair needs as many prefix shingles in common as the smaller of it
 2. Per document: set size, digest of the set, prefix and set. Documents with equal sets are one class,
    stood for by the smallest doc_id.
 3. Stars: in the postings of each shingle, every document is verified against one pivot; links make components.
-4. Only pairs of documents in different components remain to be tried: of each shingle's postings, those outside
-   its largest component meet the rest. Pairs with enough prefix matches are verified on whole sets.
+4. Shingles with postings in several components remain. Their documents outside the shingle's largest component
+   are verified against the nearest of PIVOTS of its members, which joins most of what is left of large groups.
+5. Only pairs of documents in different components remain to be tried: of each shingle's postings, those outside
+   its largest component meet the rest. A parity sketch bounds the difference of two sets from below: bit i is the
+   parity of the shingles that fall in slot i, and each shingle that only one set has flips one bit. Pairs within the bound
+   and with enough prefix matches are verified on whole sets.
 
 So a group of thousands of near copies costs a star, not its square, and no link between components is lost.
 """
@@ -36,6 +40,8 @@ WORDS = 5
 TABLE_BITS, COUNT_BITS = 24, 32
 #: Slots of the bitmap of shingles that may be in several documents (a bit each, broadcast beside the table).
 SHARED_BITS = 28
+#: Bits of a parity sketch, and members of a component against which others are tried.
+SKETCH_BITS, PIVOTS = 512, 8
 #: Candidates that a document may expect before its prefix grows, and the longest multi-match.
 EXPECTED, MOST_MATCHES = 8, 8
 
@@ -167,22 +173,28 @@ def prefix_of(shingles: np.ndarray, tables: tuple[np.ndarray, np.ndarray], perce
     return matches, shingles[order][shared], levels[shared].astype(np.int32)
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The parities of the shingles' numbers in SKETCH_BITS slots, as 64-bit integers."""
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def profiles(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
-    """doc_id, n, digest, matches, tokens, levels, hashes of every document, written to the shared folder; hashes only where a token may be shared."""
+    """doc_id, n, digest, matches, tokens, levels, hashes, sketch of every document, written to the shared folder; the last two only where a token may be shared."""
     spark = docs.sparkSession
     shared_table = spark.sparkContext.broadcast(frequency_table(docs, words))
     release_shuffles(spark)
-    fields = spark.createDataFrame([], "doc_id long, n long, digest binary, matches int, tokens array<long>, levels array<int>, hashes binary").schema
+    fields = spark.createDataFrame([], "doc_id long, n long, digest binary, matches int, tokens array<long>, levels array<int>, hashes binary, sketch array<long>").schema
     out_schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded_chunks(batch, "text"):
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for s in shingle_sets(texts_of(part.column("text")), words):
                     matches, tokens, levels = prefix_of(s, shared_table.value, percent) if len(s) else (1, s, np.zeros(0, np.int32))
                     raw = s.tobytes()
-                    for c, v in zip(cols, (len(s), xxhash.xxh3_128_digest(raw) if len(s) else None, matches, tokens.view(np.int64), levels, raw if len(tokens) else None), strict=True):
+                    for c, v in zip(cols, (len(s), xxhash.xxh3_128_digest(raw) if len(s) else None, matches, tokens.view(np.int64), levels, raw if len(tokens) else None, sketch_of(s) if len(tokens) else None), strict=True):
                         c.append(v)
                 yield batch_of(out_schema, [part.column("doc_id").cast(pa.int64()), *cols])
 
@@ -222,17 +234,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, fields)
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of documents in different components that share as many prefix tokens as they must."""
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches differ in no more bits than two linked sets may differ in shingles."""
+    bits = " + ".join(f"bit_count(sketch_{a}[{i}] ^ sketch_{b}[{i}])" for i in range(SKETCH_BITS // 64))
+    return F.expr(f"{bits} <= ({100 - percent} * (n_{a} + n_{b})) div {100 + percent}")
+
+
+def _mixed(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that several components share, and each token's largest component (main)."""
     by_component = postings.groupBy("token", "component").agg(F.count("*").alias("size"))
     mixed = by_component.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).where("parts > 1")
-    rows = postings.join(mixed.select("token", F.col("largest.component").alias("main")), "token")
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "matches", "level", "component", "held")], *(["main"] if s == "b" else []))
-    few, all_of = side(rows.where("component <> main"), "a"), side(rows, "b")
+    return postings.join(mixed.select("token", F.col("largest.component").alias("main")), "token")
+
+
+def _side(df: DataFrame, s: str, *more: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "matches", "level", "component", "held", "sketch")], *more)
+
+
+def _tries(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each document outside a token's largest component, and that of PIVOTS of its members whose sketch is nearest."""
+    member = F.struct(*[F.col(c) for c in ("doc_id", "n", "held", "sketch")])
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))
+    least = [F.min(F.when(slot == i, member)).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = rows.where("component = main").groupBy("token").agg(*least).select("token", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("p is not null")
+    pivots = pivots.select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("doc_id", "n", "held", "sketch")])
+    outside = _side(rows.where("component <> main"), "a", "main")
+    could = _alike("n_a", "n_b", percent) & (_asked("n_a", "n_b", F.lit(1), percent) <= F.least("held_a", "held_b"))
+    met = outside.join(pivots, (outside["token"] == pivots["token"]) & could & _near("a", "b", percent))
+    differ = F.expr(" + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(SKETCH_BITS // 64)))
+    return met.groupBy(F.col("doc_id_a").alias("a"), "main").agg(F.min(F.struct(differ.alias("d"), "doc_id_b")).alias("m")).select("a", F.col("m.doc_id_b").alias("b")).distinct()
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of documents in different components that share as many prefix tokens as they must; rows as of _mixed, with sketch."""
+    few, all_of = _side(rows.where("component <> main"), "a"), _side(rows, "b", "main")
     least = F.least("matches_a", "matches_b")
     asked = _asked("n_a", "n_b", least, percent)
     once = (F.col("component_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b"))
-    met = few.join(all_of, (few["token"] == all_of["token"]) & (F.col("component_a") != F.col("component_b")) & once & _alike("n_a", "n_b", percent) & (F.col("level_a") <= least) & (F.col("level_b") <= least) & (asked <= F.least("held_a", "held_b")))
+    met = few.join(all_of, (few["token"] == all_of["token"]) & (F.col("component_a") != F.col("component_b")) & once & _alike("n_a", "n_b", percent) & (F.col("level_a") <= least) & (F.col("level_b") <= least) & (asked <= F.least("held_a", "held_b")) & _near("a", "b", percent))
     counted = met.groupBy(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).agg(F.count("*").alias("hits"), F.min(asked).alias("asked"))
     return counted.where("hits >= asked").select("a", "b")
 
@@ -265,9 +304,15 @@ def join_components(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     found = components(links)
 
     # what different components may still have in common
-    labelled = postings.select("token", "doc_id", "n", "matches", "held", "level").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = materialise(verified(_candidates(materialise(labelled, "labelled"), percent), sets, percent).select("a", "b"), "links")
-    final = components(links.unionByName(more))
+    labelled = lambda rows, found: rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    some = _mixed(labelled(postings.select("token", "doc_id", "n", "matches", "held", "level"), found))
+    rows = materialise(some.join(with_tokens.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "mixed")
+    release_shuffles(spark)
+    tried = materialise(verified(_tries(rows, percent), sets, percent).select("a", "b"), "links")
+    found = components(links.unionByName(tried))
+    rows = materialise(_mixed(labelled(rows.drop("component", "main"), found)), "mixed")
+    more = materialise(verified(_candidates(rows, percent), sets, percent).select("a", "b"), "links")
+    final = components(links.unionByName(tried).unionByName(more))
 
     own = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = known.select("doc_id", "n", "digest").join(own, "digest", "left")
@@ -281,5 +326,5 @@ def join_pairs(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFr
     named = known.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     stand = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     with_tokens = named.where(F.size("tokens") > 0).join(stand, "doc_id", "left_semi")
-    postings = with_tokens.select("doc_id", "n", "matches", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select(F.col("t.tokens").alias("token"), "doc_id", "n", "matches", "held", F.col("t.levels").alias("level"), F.col("doc_id").alias("component"))
-    return verified(_candidates(materialise(postings, "postings"), percent), with_tokens.select("doc_id", "hashes"), percent).distinct()
+    postings = with_tokens.select("doc_id", "n", "matches", "sketch", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select(F.col("t.tokens").alias("token"), "doc_id", "n", "matches", "held", "sketch", F.col("t.levels").alias("level"), F.col("doc_id").alias("component"))
+    return verified(_candidates(_mixed(materialise(postings, "postings")), percent), with_tokens.select("doc_id", "hashes"), percent).distinct()
