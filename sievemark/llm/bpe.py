@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, of_worker, texts_of
 
 #: White space as Unicode's White_Space property has it; the regex module's \s also takes U+001C to U+001F.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -208,12 +208,8 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _per_worker(rank_data: bytes, pattern: str, _kept: dict = {}) -> ByteBpe:  # noqa: B006
-    key = hashlib.sha256(rank_data + pattern.encode()).digest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = ByteBpe(rank_data, pattern)
-    return _kept[key]
+def _per_worker(rank_data: bytes, pattern: str) -> ByteBpe:
+    return of_worker(("bytes", hashlib.sha256(rank_data + pattern.encode()).digest()), lambda: ByteBpe(rank_data, pattern))
 
 
 #: The largest rank file that is sent to the executors.

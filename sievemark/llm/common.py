@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +49,23 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def of_worker(key: object, build: Callable[[], object], _kept: dict = {}) -> object:  # noqa: B006
+    """What build makes, kept for the next tasks of this Python worker. One object at a time: that of another operator goes."""
+    if key not in _kept:
+        clear_worker()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def clear_worker() -> None:
+    """Let go what an earlier operator has kept in this Python worker, and give its memory back."""
+    kept = of_worker.__defaults__[0]
+    if kept:
+        kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,6 +13,8 @@ A value is the document's ids, 2 bytes each where the vocabulary allows, else 4.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import struct
 import uuid
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, new_path, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, new_path, of_worker, texts_of
 
 MAGIC, BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = b"SVT1", 64 << 10, 16, 10, 7
 FOOTER = struct.Struct("<QIQQQB4s")
@@ -180,48 +183,103 @@ class ShardReader:
         return found
 
 
-#: The largest tokenizer file that is sent to the executors; cached words of a worker and their longest length.
-MAX_TOKENIZER_BYTES, CACHE_ENTRIES, CACHE_LENGTH = 64 << 20, 400_000, 64
+#: Bytes of text whose words are numbered together.
+CHUNK_BYTES = 8_000_000
+#: The largest tokenizer file that is sent to the executors; words that a worker keeps and their longest length.
+MAX_TOKENIZER_BYTES, CACHE_ENTRIES, CACHE_LENGTH = 64 << 20, 800_000, 64
+
+
+#: A letter before an ASCII mark or digit: a word of the tokenizer ends there. Not before an apostrophe, which may begin one.
+WORD_END = r"(\p{L})([!-&(-@\[-`{-~])"
+
+
+#: Fixed value: the split pattern of the tokenizers whose words are encoded one by one. Texts of others are encoded whole.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """The tokenizers library over texts, word by word: its white space never joins words, so words are encoded once and kept."""
+    """The tokenizers library over texts, word by word: each distinct word is encoded once and kept.
+
+    Neither white space nor WORD_END ever lies within a word of the tokenizer. Texts are split and
+    their words numbered in Arrow; ids come by number from one array, so no Python object stands for a word
+    but once in a chunk. New words of letters alone are encoded GROUP at a time and parted at the ids that end a word.
+    """
+
+    GROUP = 64
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.cache
-        missing = list({w for ws in words for w in ws if w not in known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        if fresh:
-            for ws in words:
-                ws[:] = [x if (x := known.get(w)) is not None else fresh[w] for w in ws]
-        else:
-            for ws in words:
-                ws[:] = map(known.__getitem__, ws)
-        if len(known) + len(fresh) > CACHE_ENTRIES:
-            known.clear()
-            known[""] = b""
-        known.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_LENGTH)
-        return [np.frombuffer(b"".join(ws), "<u4") for ws in words]
-
-
-def _per_worker(tokenizer_json: str, _kept: dict = {}) -> WordEncoder:  # noqa: B006
+        splits = (json.loads(tokenizer_json).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = any(x.get("pattern") == {"Regex": WORD_PATTERN} and x.get("behavior") == "Removed" and x.get("invert") for x in splits)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        # words used of late, and those used before: together no more than CACHE_ENTRIES
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _group(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # some are more than one word
+            return self._encoded(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        new, old = self.new, self.old
+        out = [x if (x := new.get(w)) is not None else old.get(w) for w in words]
+        missing = [w for w, x in zip(words, out) if x is None]
+        letters, others = [w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]
+        found: dict[str, bytes] = {}
+        for part, size, encode in ((letters, self.GROUP, self._group), (others, 4096, self._encoded)):
+            for at in range(0, len(part), size):
+                found.update(zip(part[at : at + size], encode(part[at : at + size])))
+        if found:
+            out = [found[w] if x is None else x for w, x in zip(words, out)]
+        if len(new) + len(words) > CACHE_ENTRIES // 2:
+            self.old, self.new = new, {}
+        self.new.update((w, x) for w, x in zip(words[: CACHE_ENTRIES // 2], out) if len(w) <= CACHE_LENGTH)
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty, with end_id behind."""
+        last = np.array([] if end_id is None else [end_id], "<u4")
+        if not self.by_word:
+            for raw in self._encoded(texts_of(texts)):
+                yield np.concatenate([np.frombuffer(raw, "<u4"), last])
+            return
+        spaced = pc.replace_substring_regex(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), WORD_END, r"\1 \2")
+        split = pc.split_pattern(spaced, " ")
+        words = split.flatten().dictionary_encode()
+        each = self._ids(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        number = words.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[number] - (ends - n), n) + np.arange(n.sum())]
+        of_text = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]]
+        for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):
+            yield np.concatenate([ids[a:b], last])
+
+
+def _per_worker(tokenizer_json: str) -> WordEncoder:
     """One encoder for each Python worker, so that its tasks share the words known; one thread, as tasks fill the cores."""
-    if tokenizer_json not in _kept:
+
+    def build() -> WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _kept.clear()
-        _kept[tokenizer_json] = WordEncoder(tokenizer_json)
-    return _kept[tokenizer_json]
+        return WordEncoder(tokenizer_json)
+
+    return of_worker(("words", hashlib.sha256(tokenizer_json.encode()).digest()), build)
 
 
 def _open(uri: str):
@@ -256,16 +314,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, root: str, end_id: int |
         fs, path = _open(root)
         writer = None
         name, temporary = f"{path}/shard-{shard:06d}.sst", f"{path}/.{uuid.uuid4().hex}"
-        last, repeat, end = None, 0, np.array([] if end_id is None else [end_id], "<u4")
+        last, repeat = None, 0
         for batch in batches:
-            for part in bounded_chunks(batch, "text"):
+            for part in bounded_chunks(batch, "text", CHUNK_BYTES):
                 if writer is None and part.num_rows:
                     out = fs.open_output_stream(temporary)
                     writer = ShardWriter(out, id_bytes)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts_of(part.column("text"))), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"), end_id), strict=True):
                     repeat = repeat + 1 if writer.documents and doc_id == last else 0
                     last = doc_id
-                    writer.add(key_of(doc_id, repeat), np.concatenate([ids, end]))
+                    writer.add(key_of(doc_id, repeat), ids)
         if writer is not None:
             size = writer.finish()
             out.close()
