@@ -14,6 +14,7 @@ trusted texts that the model has not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +25,90 @@ from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documen
 
 ORDER, SHARDS = 5, 64
 START, AGAIN = b"\x02", "\x01"
-#: Bytes of text of a block, and of the pieces in which texts are counted.
-BLOCK_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
+#: Bytes of text of a block, and characters of the pieces in which texts are counted.
+BLOCK_BYTES, PIECE_CHARS = 8_000_000, 4_000_000
+#: Blocks whose requests meet one copy of the counts; for more blocks there are more copies.
+BLOCKS_A_COPY = 512
+#: The languages with most trusted texts have models of their own, so many at most; other texts go to one model of all trusted texts.
+LANGUAGES, POOL = 200, "\x00"
 #: One trusted text in so many is kept from the counts and sets the limit.
 HELD_OUT = 5
-#: Labelled ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 #: The limit: the median of unseen trusted texts and so many times the way from there to their upper quantile.
 UPPER, REACH = 0.95, 4.0
 #: A text is judged as if so many bytes at its language's median stood beside it: short texts vary more.
 PRIOR_BYTES = 64
 
-_MARKS = str.maketrans("\x01\x02", "  ")
+_MARKS = str.maketrans("\x00\x01\x02", "   ")
 
 
-def prepared(text: str) -> bytes:
-    """A text's bytes: white space as one space, a mark before a word like the one before, a space behind."""
-    words = text.translate(_MARKS).split()
-    if not words:
-        return b""
-    kept = [words[0]] + [AGAIN + w if w == p else w for p, w in zip(words, words[1:])]
-    return (" ".join(kept) + " ").encode("utf-8", "replace")
+class Words:
+    """The texts' bytes, word by word: white space as one space, a mark before a word like the one before, a space behind.
 
+    Most runs of five bytes lie within a word or in its first bytes and the four before it; both are
+    numbered once for each distinct word and each distinct border, so that work goes with words, not bytes.
+    runs holds the runs with repeats: those of border i, then of word i, as often as place says.
+    """
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The five-byte runs that end at each byte of the texts, as integers, and how many each text has."""
-    raw = np.frombuffer(b"".join(START * (ORDER - 1) + t for t in texts), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    n = max(0, len(raw) - ORDER + 1)
-    keys = np.zeros(n, np.uint64)
-    for i in range(ORDER):
-        keys = (keys << np.uint64(8)) | raw[i : i + n]
-    # a text's runs start at its padding; those that start further on and reach into the next are no runs
-    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
-    keep = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return keys[keep], sizes
+    def __init__(self, texts: list[str]):
+        flat, counts = [], []
+        for t in texts:
+            words = (t.translate(_MARKS) if "\x00" in t or "\x01" in t or "\x02" in t else t).split()
+            flat += [w if w != p else AGAIN + w for w, p in zip(words, chain((None,), words))]
+            counts.append(len(words))
+        self.n_words = np.array(counts, np.int64)
+        numbered = pa.array(flat, pa.string()).dictionary_encode()
+        spelt = [w.encode("utf-8", "replace") + b" " for w in numbered.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        raw = np.frombuffer(b"".join(spelt) + bytes(ORDER), np.uint8).astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        self.word = word = numbered.indices.to_numpy().astype(np.int64) if len(flat) else np.zeros(0, np.int64)
+        self.sizes = np.add.reduceat(np.r_[sizes[word], 0], np.minimum(np.cumsum(self.n_words) - self.n_words, len(word))) * (self.n_words > 0) if len(counts) else np.zeros(0, np.int64)
+        keys = np.zeros(max(0, len(raw) - ORDER + 1), np.uint64)
+        for i in range(ORDER):
+            keys = (keys << np.uint64(8)) | raw[i : i + len(keys)]
+        # the first four bytes of each word, zeros behind short ones, and the last four, zeros before
+        short = np.minimum(sizes, 4).astype(np.uint64)
+        head = keys[starts] >> np.uint64(8)
+        head = (head >> (np.uint64(32) - np.uint64(8) * short)) << (np.uint64(32) - np.uint64(8) * short)
+        ends = starts + sizes
+        tail = np.zeros(len(spelt), np.uint64)
+        for i in range(4, 0, -1):
+            tail = (tail << np.uint64(8)) | np.where(sizes >= i, raw[np.maximum(ends - i, 0)], np.uint64(0))
+        # the four bytes before each word of the texts: a word with its space has two bytes at least, so two words hold them
+        start = np.zeros(len(word), bool)
+        start[(np.cumsum(self.n_words) - self.n_words)[self.n_words > 0]] = True
+        filled = np.uint64(int.from_bytes(START * 4, "big"))
+        own, size = tail[word], np.minimum(sizes[word], 4).astype(np.uint64)
+        joined = lambda before: np.where(size >= 4, own, ((before << (np.uint64(8) * size)) | own) & np.uint64(0xFFFFFFFF))
+        last = joined(np.where(start, filled, np.r_[filled, own[:-1]] if len(own) else own))
+        last = joined(np.where(start, filled, np.r_[filled, last[:-1]] if len(own) else own))
+        context = np.where(start, filled, np.r_[filled, last[:-1]] if len(own) else own)
+        borders = pa.array(((context << np.uint64(32)) | head[word]).view(np.int64)).dictionary_encode()
+        self.border = borders.indices.to_numpy().astype(np.int64) if len(word) else np.zeros(0, np.int64)
+        pairs = borders.dictionary.to_numpy().view(np.uint64)
+        cells = [(np.where((pairs & np.uint64(0xFF << 24 - 8 * i)) > 0, (pairs >> np.uint64(24 - 8 * i)) & np.uint64((1 << 40) - 1), np.uint64(0))) for i in range(4)]
+        crossing = np.stack(cells, axis=1).ravel() if len(pairs) else np.zeros(0, np.uint64)
+        within = np.maximum(sizes - 4, 0)
+        place = np.repeat(starts - (np.cumsum(within) - within), within) + np.arange(within.sum())
+        valid = crossing > 0
+        self.of_border = np.repeat(np.arange(len(pairs)), 4)[valid]
+        self.of_word = np.repeat(np.arange(len(spelt)), within)
+        self.runs = np.concatenate([crossing[valid], keys[place]])
+        self.n_borders, self.n_spelt = len(pairs), len(spelt)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct runs, sorted, with their numbers in the texts."""
+        often = np.concatenate([np.bincount(self.border, minlength=self.n_borders)[self.of_border], np.bincount(self.word, minlength=self.n_spelt)[self.of_word]])
+        return _added(self.runs, often)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the runs' values (one for each of runs) over each text."""
+        k = len(self.of_border)
+        border = np.bincount(self.of_border, values[:k], self.n_borders)
+        word = np.bincount(self.of_word, values[k:], self.n_spelt)
+        each = np.r_[0.0, np.cumsum(border[self.border] + word[self.word])]
+        ends = np.cumsum(self.n_words)
+        return each[ends] - each[ends - self.n_words]
 
 
 def shard_of(keys: np.ndarray) -> np.ndarray:
@@ -75,12 +125,12 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return (np.frombuffer(blob[:n], "u1").astype(np.uint64) << np.uint64(32)) | np.frombuffer(blob[n:], "<u4").astype(np.uint64)
 
 
-def _pieces(texts: list[str]) -> Iterator[list[bytes]]:
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
-        held.append(prepared(t))
-        size += len(held[-1])
-        if size > PIECE_BYTES:
+        held.append(t)
+        size += len(t)
+        if size > PIECE_CHARS:
             yield held
             held, size = [], 0
     if held:
@@ -175,7 +225,7 @@ def train(trusted: DataFrame) -> Model:
                     by_lang.setdefault(lang, []).append(text)
                 for lang, texts in by_lang.items():
                     for piece in _pieces(texts):
-                        keys, counts = np.unique(runs(piece)[0], return_counts=True)
+                        keys, counts = Words(piece).counted()
                         old = known.get(lang)
                         known[lang] = [keys, counts] if old is None else list(_added(np.concatenate([old[0], keys]), np.concatenate([old[1], counts])))
                 if sum(len(k) for k, _ in known.values()) > 8_000_000:
@@ -221,9 +271,12 @@ def train(trusted: DataFrame) -> Model:
 
 
 def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_bytes, bits (a byte; null for texts without words and languages that the model lacks)."""
+    """doc_id, tag, lang, n_bytes, bits (a byte; null for texts without words and languages that the model lacks).
+
+    docs: doc_id, tag (a text that goes along), lang (the model to take), text.
+    """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "lang", F.coalesce("text", F.lit("")).alias("text"))
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
     block = F.pmod(F.xxhash64("doc_id", F.substring("text", -64, 64)), F.lit(blocks))
@@ -233,7 +286,7 @@ def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
     ask_schema = arrow_schema(ask)
     reply = spark.createDataFrame([], "block long, lang string, r int, logs binary").schema
     reply_schema = arrow_schema(reply)
-    out = spark.createDataFrame([], "doc_id long, lang string, n_bytes long, bits double").schema
+    out = spark.createDataFrame([], "doc_id long, tag string, lang string, n_bytes long, bits double").schema
     out_schema = arrow_schema(out)
 
     def langs_of(table: pa.Table) -> dict[str, list[int]]:
@@ -242,17 +295,14 @@ def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
             rows.setdefault(lang, []).append(i)
         return rows
 
-    def distinct(texts: list[str]) -> np.ndarray:
-        found = np.zeros(0, np.uint64)
-        for piece in _pieces(texts):
-            found = np.union1d(found, runs(piece)[0])
-        return found
+    def distinct(pieces: list[Words]) -> np.ndarray:
+        return np.unique(np.concatenate([w.runs for w in pieces])) if pieces else np.zeros(0, np.uint64)
 
     def request(table: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], []]
         for lang, where in langs_of(table).items():
             if lang in shared.value:
-                keys = distinct(table.column("text").take(where).to_pylist())
+                keys = distinct([Words(p) for p in _pieces(table.column("text").take(where).to_pylist())])
                 shard = shard_of(keys)
                 for r in np.unique(shard).tolist():
                     for c, v in zip(rows, (table.column("block")[0].as_py(), lang, r, _packed(keys[shard == r])), strict=True):
@@ -273,58 +323,70 @@ def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_batches([batch_of(out_schema, [[], [], [], []])])
+            return pa.Table.from_batches([batch_of(out_schema, [[], [], [], [], []])])
         sizes, bits = [0] * table.num_rows, [None] * table.num_rows
         got = {(lang, r): np.frombuffer(b, "<f4") for lang, r, b in zip(*(replies.column(c).to_pylist() for c in ("lang", "r", "logs")), strict=True)}
         for lang, where in langs_of(table).items():
-            texts = table.column("text").take(where).to_pylist()
             known = lang in shared.value
-            keys = distinct(texts) if known else np.zeros(0, np.uint64)
+            pieces = [Words(p) for p in _pieces(table.column("text").take(where).to_pylist())]
+            keys = distinct(pieces) if known else np.zeros(0, np.uint64)
             logs = np.zeros(len(keys))
             shard = shard_of(keys)
             for r in np.unique(shard).tolist():
                 logs[shard == r] = got[lang, r]
             at = 0
-            for piece in _pieces(texts):
-                own, n = runs(piece)
-                each = np.r_[0.0, np.cumsum(logs[np.searchsorted(keys, own)])] if known else np.zeros(n.sum() + 1)
-                ends = np.cumsum(n)
-                for total, size in zip((each[ends] - each[ends - n]).tolist(), n.tolist(), strict=True):
+            for piece in pieces:
+                totals = piece.sums(logs[np.searchsorted(keys, piece.runs)]) if known else piece.sizes
+                for total, size in zip(totals.tolist(), piece.sizes.tolist(), strict=True):
                     sizes[where[at]] = size
                     bits[where[at]] = -total / size if known and size else None
                     at += 1
-        return pa.Table.from_batches([batch_of(out_schema, [table.column("doc_id").combine_chunks(), table.column("lang").combine_chunks(), sizes, bits])])
+        return pa.Table.from_batches([batch_of(out_schema, [*(table.column(c).combine_chunks() for c in ("doc_id", "tag", "lang")), sizes, bits])])
 
-    asked = dealt.groupBy("block").applyInArrow(request, ask)
-    answers = asked.groupBy("lang", "r").cogroup(model.shards.groupBy("lang", "r")).applyInArrow(answer, reply)
+    copies = blocks // BLOCKS_A_COPY + 1
+    asked = dealt.groupBy("block").applyInArrow(request, ask).withColumn("copy", F.pmod("block", F.lit(copies)))
+    counts = model.shards.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    answers = asked.groupBy("lang", "r", "copy").cogroup(counts.groupBy("lang", "r", "copy")).applyInArrow(answer, reply)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out)
 
 
 def _ids(labels: DataFrame, condition: str) -> DataFrame:
     ids = labels.where(condition).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return materialise(ids, "ids")  # its size decides whether it is broadcast
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, lang, n_bytes, bits, perplexity (2 ** bits, of a byte), judged_bits, bits_limit, keep.
+    """Per document: doc_id, lang, n_bytes, bits, perplexity (2 ** bits, of a byte), judged_bits, bits_limit, keep, text_hash.
 
-    Trusted are the documents labelled quality 1, all of them. Empty and null texts, and texts in a language
-    without trusted text, have null bits and are kept; a null language is the one named by the empty text.
-    A language with no unseen trusted text takes the quantiles of those seen. Rows with null or
-    repeated doc_id are scored each for itself; no row gives no row.
+    Trusted are the documents labelled quality 1, all of them. Empty and null texts have null bits and are kept.
+    Texts in a language without trusted texts, or with a null one, are judged by a model and limit of all trusted texts.
+    A language with no unseen trusted text takes the quantiles of those seen; without any trusted text all are kept. Rows with null or
+    repeated doc_id are scored each for itself; text_hash tells repeated ids apart; no row gives no row.
     """
-    base = documents(docs, "doc_id", "lang", "text")
+    base = documents(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("said"), "text")
     good = _ids(labels, "quality = 1")
-    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HELD_OUT)) == 0
-    model = train(base.join(good, "doc_id", "left_semi").where(~held))
-    scored = materialise(bits_per_byte(base, model), "perplexity")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    trusted = base.join(good, "doc_id", "left_semi")
+    # at most LANGUAGES names come to the driver
+    known = [r["said"] for r in trusted.groupBy("said").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "said").limit(LANGUAGES).collect()]
+    pooled = bool(base.where(~F.col("said").isin(known)).limit(1).count())
+    own = F.when(F.col("said").isin(known), F.col("said")).otherwise(POOL)
+    every = trusted.withColumn("lang", own)
+    if pooled:
+        every = every.where(F.col("lang") != POOL).unionByName(trusted.withColumn("lang", F.lit(POOL)))
+    model = train(every.where(~held))
+    asked = base.select("doc_id", F.concat_ws("|", F.xxhash64("text"), "said").alias("tag"), own.alias("lang"), "text")
+    if pooled:  # the trusted texts show what the pooled model's limit should be
+        asked = asked.unionByName(trusted.where(own != POOL).select("doc_id", F.lit(None).cast("string").alias("tag"), F.lit(POOL).alias("lang"), "text"))
+    scored = materialise(bits_per_byte(asked, model), "perplexity")
     seen = scored.join(good, "doc_id", "left_semi").where("bits is not null").select("lang", F.round("bits", 3).alias("bits"), held.alias("held"))
     # exact quantiles of rounded values: their number is bounded, whatever the input
     cut = lambda h: F.when(h, F.col("bits"))
     q = seen.groupBy("lang").agg(F.percentile(cut(F.col("held")), F.array(F.lit(0.5), F.lit(UPPER))).alias("h"), F.percentile("bits", F.array(F.lit(0.5), F.lit(UPPER))).alias("a"))
     q = q.select("lang", F.coalesce("h", "a").alias("q"))
     limits = q.select("lang", F.col("q")[0].alias("median"), F.round(F.col("q")[0] + REACH * (F.col("q")[1] - F.col("q")[0]), 4).alias("bits_limit"))
-    out = scored.join(limits, "lang", "left")
+    out = scored.where("tag is not null").join(F.broadcast(limits), "lang", "left")  # LANGUAGES + 1 rows at most
     judged = (F.col("bits") * F.col("n_bytes") + F.col("median") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
     keep = F.coalesce(judged <= F.col("bits_limit"), F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", F.round("bits", 4).alias("bits"), F.round(F.pow(F.lit(2.0), F.col("bits")), 3).alias("perplexity"), F.round(judged, 4).alias("judged_bits"), "bits_limit", keep.alias("keep"))
+    said = F.expr("substr(tag, instr(tag, '|') + 1)")
+    return out.select("doc_id", said.alias("lang"), "n_bytes", F.round("bits", 4).alias("bits"), F.round(F.pow(F.lit(2.0), F.col("bits")), 3).alias("perplexity"), F.round(judged, 4).alias("judged_bits"), "bits_limit", keep.alias("keep"), F.expr("cast(substr(tag, 1, instr(tag, '|') - 1) as bigint)").alias("text_hash"))
