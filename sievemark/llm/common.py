@@ -75,6 +75,26 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Rows of two numbers that a broadcast takes at most: about 90 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """keys with the hint to broadcast, if they are few enough."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null is a value) and hash of the text are not in gone (doc_id, text_hash).
+
+    gone is a written table: up to BROADCAST_ROWS (some 90 bytes each) it is broadcast, beyond both sides are shuffled.
+    """
+    gone = bounded(gone)
+    keys = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_gone_hash"])
+    return docs.join(keys, same, "left_anti")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column's texts, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

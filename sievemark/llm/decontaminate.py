@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, clear_worker, documents, materialise, texts_of, without
 
 #: Edits for each character of an item, and characters below which an item is too short for edits.
 ERROR_RATE, MIN_CHARS = 0.08, 25
@@ -127,13 +127,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
     Items shorter than min_chars match without edits, on word borders; null and empty items match nothing, null and empty texts hold nothing.
     Repeated items and documents give rows each; a null doc_id or item_id stays null. Of equally good places the first is told.
     """
+    return _found(documents(docs, "doc_id", "text").withColumn("text_hash", F.lit(None).cast("long")), benchmark, rate, min_chars).drop("text_hash")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int) -> DataFrame:
+    """matches of docs (doc_id, text, text_hash), with the text_hash."""
     spark = docs.sparkSession
-    fields = spark.createDataFrame([], "doc_id long, item_id long, edits int, end_char long").schema
+    fields = spark.createDataFrame([], "doc_id long, text_hash long, item_id long, edits int, end_char long").schema
     out_schema = arrow_schema(fields)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item is not null")
     total = items.agg(F.sum(F.octet_length("item").cast("long"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
-    rows = documents(docs, "doc_id", "text").where("text is not null")
+    rows = docs.where("text is not null")
 
     def against(block: int) -> DataFrame:
         # a block of bounded size (or one item, if that is longer)
@@ -142,13 +147,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
         shared = spark.sparkContext.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            clear_worker()
             matcher = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 for part in bounded_chunks(batch, "text"):
-                    out: list[list] = [[], [], [], []]
-                    for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part.column("text")), strict=True):
+                    out: list[list] = [[], [], [], [], []]
+                    for doc, hashed, text in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts_of(part.column("text")), strict=True):
                         for name, edits, end in matcher.find(normalised(text)):
-                            for c, v in zip(out, (doc, name, edits, end), strict=True):
+                            for c, v in zip(out, (doc, hashed, name, edits, end), strict=True):
                                 c.append(v)
                     yield batch_of(out_schema, out)
 
@@ -157,7 +163,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min
     return reduce(DataFrame.unionByName, map(against, range(blocks)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs that hold no item; those with a null doc_id stay."""
-    held = matches(docs, benchmark, rate).select(F.col("doc_id").alias("_held")).where("_held is not null").distinct()
-    return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of docs that hold no item, told by doc_id (null too) and text, so that repeated ids don't take each other away."""
+    keyed = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    held = _found(keyed, benchmark, rate, min_chars).select("doc_id", "text_hash").distinct()
+    return without(docs, materialise(held, "held"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, release_shuffles, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded, bounded_chunks, clear_worker, documents, materialise, n_shuffle, release_shuffles, texts_of, without
 from sievemark.llm.components import components
 
 WORDS = 5
@@ -92,6 +92,7 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
     out_schema = arrow_schema(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         held, size = [], 0
 
         def flush():
@@ -188,6 +189,7 @@ def profiles(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFram
     out_schema = arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for batch in batches:
             for part in bounded_chunks(batch, "text"):
                 cols: list[list] = [[] for _ in range(7)]
@@ -328,3 +330,33 @@ def join_pairs(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFr
     with_tokens = named.where(F.size("tokens") > 0).join(stand, "doc_id", "left_semi")
     postings = with_tokens.select("doc_id", "n", "matches", "sketch", F.size("tokens").alias("held"), F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select(F.col("t.tokens").alias("token"), "doc_id", "n", "matches", "held", "sketch", F.col("t.levels").alias("level"), F.col("doc_id").alias("component"))
     return verified(_candidates(_mixed(materialise(postings, "postings")), percent), with_tokens.select("doc_id", "hashes"), percent).distinct()
+
+
+def extra_copies(docs: DataFrame, percent: int = 80, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Of each group of linked documents all but one, as (doc_id, text_hash), and those of the kept that stand in several equal rows.
+
+    Kept is the smallest doc_id, of several texts under it that with the smallest hash. A null doc_id is no
+    hindrance: such a text goes by its hash, behind all identifiers below 2 ** 62. Texts without words are no copies. Both tables are written.
+    """
+    base = documents(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    stand_in = F.coalesce("doc_id", F.lit(1 << 62).bitwiseOR(F.col("text_hash").bitwiseAND(F.lit((1 << 62) - 1))))
+    groups = join_components(base.select(stand_in.alias("doc_id"), "text"), percent, words).where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct()
+    rows = base.where(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0).groupBy(stand_in.alias("node"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    of_group = materialise(rows.join(groups, "node"), "copies")
+    kept = of_group.groupBy("component").agg(F.min(F.struct("node", "text_hash")).alias("kept"))
+    several = of_group.groupBy("component").agg(F.sum("n").alias("rows")).where("rows > 1").select("component")
+    told = of_group.join(kept.join(several, "component"), "component").withColumn("stays", F.struct("node", "text_hash") == F.col("kept"))
+    gone = materialise(told.where("not stays").select("doc_id", "text_hash"), "gone")
+    return gone, materialise(told.where("stays and n > 1").select("doc_id", "text_hash"), "repeated")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
+    """The rows of docs without near copies: one row of each group of linked documents."""
+    gone, repeated = extra_copies(docs, percent, words)
+    if repeated.isEmpty():
+        return without(docs, gone)
+    rest = without(without(docs, gone), repeated)
+    keys = bounded(repeated).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_hash"])
+    once = docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(once)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, clear_worker, documents, materialise, texts_of, without
 
 ORDER, SHARDS = 5, 64
 START, AGAIN = b"\x02", "\x01"
@@ -217,6 +217,7 @@ def train(trusted: DataFrame) -> Model:
             yield lang, r, _packed(keys[shard == r]), counts[shard == r].astype("<u4").tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         known: dict[str, list] = {}
         for batch in batches:
             for part in bounded_chunks(batch, "text"):
@@ -299,6 +300,7 @@ def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
         return np.unique(np.concatenate([w.runs for w in pieces])) if pieces else np.zeros(0, np.uint64)
 
     def request(table: pa.Table) -> pa.Table:
+        clear_worker()
         rows: list[list] = [[], [], [], []]
         for lang, where in langs_of(table).items():
             if lang in shared.value:
@@ -390,3 +392,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keep = F.coalesce(judged <= F.col("bits_limit"), F.lit(True))
     said = F.expr("substr(tag, instr(tag, '|') + 1)")
     return out.select("doc_id", said.alias("lang"), "n_bytes", F.round("bits", 4).alias("bits"), F.round(F.pow(F.lit(2.0), F.col("bits")), 3).alias("perplexity"), F.round(judged, 4).alias("judged_bits"), "bits_limit", keep.alias("keep"), F.expr("cast(substr(tag, 1, instr(tag, '|') - 1) as bigint)").alias("text_hash"))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify keeps, told by doc_id (null too) and text."""
+    rejected = classify(docs, labels).where("not keep").select("doc_id", "text_hash").distinct()
+    return without(docs, materialise(rejected, "rejected"))
