@@ -11,20 +11,17 @@ from sievemark.llm.common import materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; rows with a null doc_id stay."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = judged.where("not keep").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the quality classifier keeps; each row is judged, whatever its doc_id."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; rows with a null doc_id stay."""
-    copies = ngram_join.join_components(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row, that with the smallest doc_id (a null one only where no other is)."""
+    return ngram_join.one_of_each(docs).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its edit budget."""
+    """Rows that hold no benchmark item within its edit budget; each row is judged, whatever its doc_id."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
