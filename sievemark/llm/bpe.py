@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documen
 #: White space as Unicode's White_Space property has it; the regex module's \s also takes U+001C to U+001F.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Encoded words that a worker keeps in each of three stores, and their longest length; beyond, they are computed again.
+#: Encoded pre-tokens that a worker keeps, half of them used of late, and their longest length; beyond, they are computed again.
 CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
+#: Parts the words of a text for Arrow; texts that hold it go through the pattern as a whole.
+PART = "\x1f"
 
 #: Fixed value: the public pattern whose matches never run across a single space or line end into what follows it.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,7 +117,7 @@ class ByteBpe:
 
     Ids travel as little-endian unsigned 32-bit integers. Where a text has no white space but
     single spaces and line ends, no match of a GPT-style pattern crosses the place before one, so its
-    words are encoded and kept one by one; other texts go through the pattern as a whole.
+    words are numbered in Arrow and each distinct one is encoded once; other texts go through the pattern as a whole.
     """
 
     def __init__(self, rank_data: bytes, pattern: str):
@@ -129,9 +132,7 @@ class ByteBpe:
         self.split = regex.compile(portable_pattern(pattern))
         self.by_word = pattern == SPACED_PATTERN
         self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.line_end = self.encode_matches("\n")
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is in the vocabulary.
@@ -162,47 +163,49 @@ class ByteBpe:
 
     def encode_piece(self, piece: str) -> bytes:
         """One pre-token: by the perfect hash if it is in the vocabulary, else by merging."""
-        raw = piece.encode()
-        whole = self.lookup.get(raw)
-        ids = (struct.pack("<I", whole)) if whole is not None else struct.pack(f"<{len(m := self.merge(raw))}I", *m)
-        return self._keep(self.pieces, piece, ids)
-
-    @staticmethod
-    def _keep(cache: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(key) <= CACHE_LENGTH:
-            if len(cache) >= CACHE_ENTRIES:
-                cache.clear()
-            cache[key] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.lookup.get(raw)
+            ids = struct.pack("<I", whole) if whole is not None else struct.pack(f"<{len(m := self.merge(raw))}I", *m)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self.pieces) >= CACHE_ENTRIES // 2:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = ids
         return ids
 
     def encode_matches(self, text: str) -> bytes:
-        get, miss = self.pieces.get, self.encode_piece
-        return b"".join([get(p) or miss(p) for p in self.split.findall(text)])
-
-    def _missed(self, cache: dict[str, bytes], word: str, space: str) -> bytes:
-        """Encode and keep a word; letters alone, or before one mark, need no search for matches."""
-        get = self.pieces.get
-        if word.isalpha():
-            ids = self.encode_piece(space + word)
-        elif word[:-1].isalpha() and word[-1] in ".,":
-            ids = (get(space + word[:-1]) or self.encode_piece(space + word[:-1])) + (get(word[-1]) or self.encode_piece(word[-1]))
-        else:
-            ids = self.encode_matches(space + word)
-        return self._keep(cache, word, ids)
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or not text or text[0] in " \n" or text[-1] in " \n" or ODD_SPACE.search(text):
-            return self.encode_matches(text)
-        spaced, first, out = self.spaced, self.first, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            w = words[0]
-            out.append(first.get(w) or self._missed(first, w, ""))
-            del words[0]
-            out += [spaced.get(w) or self._missed(spaced, w, " ") for w in words]
-            out.append(self.line_end)
-        out.pop()
-        return b"".join(out)
+        found = self.split.findall(text)
+        return b"".join([self.pieces.get(p) or self.encode_piece(p) for p in found])
+
+    def encode_word(self, word: str) -> bytes:
+        """A word, with the space before it; letters alone, or before one mark, need no search for matches."""
+        bare = word[1:] if word[:1] == " " else word
+        if bare.isalpha():
+            return self.pieces.get(word) or self.encode_piece(word)
+        if bare[:-1].isalpha() and bare[-1] in ".,":
+            return (self.pieces.get(word[:-1]) or self.encode_piece(word[:-1])) + (self.pieces.get(word[-1]) or self.encode_piece(word[-1]))
+        return self.encode_matches(word)
+
+    def _plain(self, text: str) -> bool:
+        return self.by_word and text[:1] not in " \n" and text[-1:] not in " \n" and not ODD_SPACE.search(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = list(map(self._plain, texts))
+        parted = pc.replace_substring(pa.array([t for t, p in zip(texts, plain) if p], pa.string()), " ", PART + " ")
+        split = pc.split_pattern(pc.replace_substring(parted, "\n", f"{PART}\n{PART}"), PART)
+        words = split.flatten().dictionary_encode()
+        each = list(map(self.encode_word, words.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        number = words.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - n), n) + np.arange(n.sum())]
+        at = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]]
+        done = iter([ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+        return [next(done) if p else self.encode_matches(t) for t, p in zip(texts, plain)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -238,8 +241,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
         for batch in batches:
             for part in bounded_chunks(batch, "text"):
                 cols: list[list] = [[], [], [], []]
-                for text in texts_of(part.column("text")):
-                    ids = bpe.encode(text)
+                for ids in bpe.encode(texts_of(part.column("text"))):
                     cols[0].append(len(ids) // 4)
                     cols[1].append(hashlib.sha256(ids).hexdigest())
                     cols[2].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
