@@ -27,7 +27,9 @@ from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documen
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Encoded pre-tokens that a worker keeps, half of them used of late, and their longest length; beyond, they are computed again.
-CACHE_ENTRIES, CACHE_LENGTH = 500_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+#: Bytes of text whose words are numbered together.
+CHUNK_BYTES = 2_000_000
 #: Parts the words of a text for Arrow; texts that hold it go through the pattern as a whole.
 PART = "\x1f"
 
@@ -239,7 +241,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _per_worker(shared.value, pattern)
         for batch in batches:
-            for part in bounded_chunks(batch, "text"):
+            for part in bounded_chunks(batch, "text", CHUNK_BYTES):
                 cols: list[list] = [[], [], [], []]
                 for ids in bpe.encode(texts_of(part.column("text"))):
                     cols[0].append(len(ids) // 4)

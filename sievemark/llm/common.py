@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -58,20 +62,28 @@ def of_worker(key: object, build: Callable[[], object], _kept: dict = {}) -> obj
 
 
 def clear_worker() -> None:
-    """Let go what an earlier operator has kept in this Python worker, and give its memory back."""
+    """Let go what an earlier operator has kept in this Python worker, and give free memory back to the system."""
     kept = of_worker.__defaults__[0]
-    if kept:
-        kept.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's 64 MB: both sides of each task hold some of them.
+BATCH_BYTES, _BATCHES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names do no harm."""
+    """Only the named columns, so that extra columns with clashing names do no harm; Arrow batches become small ones."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES, None) == "67108864b":
+        conf.set(_BATCHES, BATCH_BYTES)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

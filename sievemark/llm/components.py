@@ -30,3 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
             roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         before = now
+
+
+def extended(found: DataFrame, more: DataFrame) -> DataFrame:
+    """components with further edges (a, b): of whole components, each one node, and of nodes that were in none."""
+    name = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    edges = more.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    links = components(edges.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    up = links.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+    known = found.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
+    return known.unionByName(links.join(found.select("node"), "node", "left_anti"))

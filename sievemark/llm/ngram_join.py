@@ -23,6 +23,7 @@ So a group of thousands of near copies costs a star, not its square, and no link
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.llm.common import arrow_schema, batch_of, bounded, bounded_chunks, clear_worker, documents, materialise, n_shuffle, release_shuffles, texts_of, without
-from sievemark.llm.components import components
+from sievemark.llm.components import components, extended
 
 WORDS = 5
 #: Slots of the frequency table (a byte each, broadcast), and the hash bits that a count tells apart below those of its range.
@@ -136,13 +137,13 @@ def frequency_table(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
         np.maximum.at(out, keys[marked] >> np.uint32(COUNT_BITS - (TABLE_BITS - range_bits)), logs[marked])
         bits = np.zeros(fine, bool)
         bits[keys[totals > 1] >> np.uint32(COUNT_BITS - (SHARED_BITS - range_bits))] = True
-        return pa.Table.from_batches([batch_of(slice_schema, [[table.column("r")[0].as_py()], [out.tobytes()], [np.packbits(bits).tobytes()]])])
+        return pa.Table.from_batches([batch_of(slice_schema, [[table.column("r")[0].as_py()], [zlib.compress(out.tobytes(), 1)], [zlib.compress(np.packbits(bits).tobytes(), 1)]])])
 
     table, shared = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(1 << (SHARED_BITS - 3), np.uint8)
     # slices of fixed size for each range: 2**TABLE_BITS and 2**SHARED_BITS / 8 bytes in all, whatever the input
     for row in documents(docs, "text").mapInArrow(count, fields).groupBy("r").applyInArrow(gather, sliced).toLocalIterator():
-        table[row["r"] * slots : (row["r"] + 1) * slots] = np.frombuffer(row["slots"], np.uint8)
-        shared[row["r"] * fine // 8 : (row["r"] + 1) * fine // 8] = np.frombuffer(row["shared"], np.uint8)
+        table[row["r"] * slots : (row["r"] + 1) * slots] = np.frombuffer(zlib.decompress(row["slots"]), np.uint8)
+        shared[row["r"] * fine // 8 : (row["r"] + 1) * fine // 8] = np.frombuffer(zlib.decompress(row["shared"]), np.uint8)
     return table, shared
 
 
@@ -311,10 +312,10 @@ def join_components(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     rows = materialise(some.join(with_tokens.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id"), "mixed")
     release_shuffles(spark)
     tried = materialise(verified(_tries(rows, percent), sets, percent).select("a", "b"), "links")
-    found = components(links.unionByName(tried))
+    found = materialise(extended(found, tried), "found")
     rows = materialise(_mixed(labelled(rows.drop("component", "main"), found)), "mixed")
     more = materialise(verified(_candidates(rows, percent), sets, percent).select("a", "b"), "links")
-    final = components(links.unionByName(tried).unionByName(more))
+    final = extended(found, more)
 
     own = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = known.select("doc_id", "n", "digest").join(own, "digest", "left")
