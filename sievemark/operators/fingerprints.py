@@ -57,19 +57,22 @@ def winnowed_hashes(hashes: Column, w: Column) -> Column:
     return F.when(m == 0, F.array().cast("array<string>")).when(m < w, F.array(F.array_min(hashes))).otherwise(F.array_distinct(windows))
 
 
-def winnowed_grams(grams: Column, w: Column) -> Column:
-    """Like winnowed_hashes for (i, h): each window's rightmost minimum; of too few grams, the leftmost."""
-    m = F.size(grams)
-    right = F.transform(grams, lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i")))
-    left = F.transform(grams, lambda g: F.struct(g["h"].alias("h"), g["i"].alias("i")))
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), m - w + 1), lambda i: F.array_min(F.slice(right, i, w))))
-    plain = F.transform(windows, lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i")))
-    return F.when(m == 0, F.slice(left, 1, 0)).when(m < w, F.array(F.array_min(left))).otherwise(plain)
+def with_winnowed_grams(docs: DataFrame) -> DataFrame:
+    """docs with minima: like winnowed_hashes for grams (i, h), each window's rightmost minimum; of too few grams, the leftmost.
+
+    right is a column of its own, so that it is not made anew for each window.
+    """
+    m = F.size("right")
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), m - F.col("w") + 1), lambda i: F.array_min(F.slice("right", i, F.col("w")))))
+    back = lambda a: F.transform(a, lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i")))
+    least = F.array(F.array_min(back(F.col("right"))))
+    out = docs.withColumn("right", F.transform("grams", lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i")))).drop("grams")
+    return out.withColumn("minima", F.when(m == 0, F.slice(back(F.col("right")), 1, 0)).when(m < F.col("w"), least).otherwise(back(windows))).drop("right")
 
 
 def fingerprint_set(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Distinct (key, hash) of the winnowed fingerprints."""
-    grams = with_grams(tokenised(docs.select(key, "text"))).select(key, "w", F.transform("grams", lambda g: g["h"]).alias("hashes"))
+    grams = with_grams(tokenised(spread(docs.select(key, "text")))).select(key, "w", F.transform("grams", lambda g: g["h"]).alias("hashes"))
     # outer: the filter that the optimizer infers below an inner explode would compute the arrays anew for each window
     return grams.select(key, F.explode_outer(winnowed_hashes(F.col("hashes"), F.col("w"))).alias("hash")).where("hash is not null")
 
@@ -79,9 +82,18 @@ def all_hashes(docs: DataFrame) -> DataFrame:
     return with_grams(tokenised(docs.select("text"))).select(F.explode_outer("grams").alias("g")).select(F.col("g.h").alias("hash")).where("hash is not null").distinct()
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores, where the scan has fewer: tokens cost more than the move of a text.
+
+    Only for small inputs; a scan of many splits stays as it is.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Winnowed fingerprints with places: key, hash, pos, start, end (lines)."""
-    rows = with_grams(tokenised(docs.select(key, "text"), with_lines=True))
-    rows = rows.select(key, "lines", "k", F.explode_outer(winnowed_grams(F.col("grams"), F.col("w"))).alias("g")).where("g is not null")
+    rows = with_winnowed_grams(with_grams(tokenised(spread(docs.select(key, "text")), with_lines=True)).select(key, "lines", "k", "w", "grams"))
+    rows = rows.select(key, "lines", "k", F.explode_outer("minima").alias("g")).where("g is not null")
     at = lambda i: F.element_at("lines", i)
     return rows.select(key, F.col("g.h").alias("hash"), F.col("g.i").alias("pos"), at(F.col("g.i") + 1).alias("start"), at(F.col("g.i") + F.col("k")).alias("end"))
