@@ -20,3 +20,5 @@ UNIT_PRIORITY = {"LOOP": 1, "METHOD": 2, "IF": 3, "SWITCH": 4, "CLASS": 5}
 PROSE_UNIT_LINES = 5
 #: Time zone of terms and expiry, and days of warning and of grace.
 ZONE, WARNING_DAYS, GRACE_DAYS = "America/Toronto", 15, 30
+#: Report without strong blocks: least density and number of blocks; a lone block that flags a pair; files that are the same.
+FALLBACK_DENSITY, FALLBACK_BLOCKS, LONE_DENSITY, SAME_FILE = 0.2, 8, 0.62, 0.90

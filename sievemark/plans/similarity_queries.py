@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,28 +71,46 @@ def file_level_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.plain_jaccard(FP.fingerprint_set(_docs(spark, sf_dir)))
 
 
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.prose_units(FP.fingerprints(_docs(spark, sf_dir)))
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # kept once for both sides of the self-join; also keeps its filters from being pushed into the array expressions
-    prints = FP.fingerprints(_docs(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
-    return B.merged(B.matches(B.prose_units(prints)))
+    return B.merged(B.matches(_prints(spark, sf_dir).where("unit_start is not null")))
+
+
+def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many occurrences meet, and in how many pairs, with units that may match."""
+    found = B.matches(_prints(spark, sf_dir))
+    return found.groupBy("doc_id_a", "doc_id_b").agg(F.count("*").alias("n_matches"), F.count_distinct("hash").alias("n_hashes"))
 
 
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("doc_id_a", "doc_id_b", "unit_start_a", "unit_start_b", "hash_count", "raw_match_count", F.round("density", 4).alias("density"))
+    return _blocks(spark, sf_dir).select("doc_id_a", "doc_id_b", F.col("from_a").alias("unit_start_a"), F.col("from_b").alias("unit_start_b"), "hash_count", "raw_match_count", F.round("density", 4).alias("density"))
 
 
 def strong_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = B.with_confidence(B.strong(_blocks(spark, sf_dir)))
-    return out.select("doc_id_a", "doc_id_b", "unit_start_a", "unit_start_b", F.round("score", 4).alias("score"), "confidence")
+    return out.select("doc_id_a", "doc_id_b", F.col("from_a").alias("unit_start_a"), F.col("from_b").alias("unit_start_b"), F.round("score", 4).alias("score"), "confidence")
 
 
 def one_to_one_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.one_to_one(B.strong(_blocks(spark, sf_dir)))
+    return B.one_to_one(B.strong(_blocks(spark, sf_dir))).select("doc_id_a", "doc_id_b", F.col("from_a").alias("unit_start_a"), F.col("from_b").alias("unit_start_b"))
+
+
+def capped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.capped(B.one_to_one(B.strong(_blocks(spark, sf_dir))))
+    return out.select("doc_id_a", "doc_id_b", "place", F.col("from_a").alias("unit_start_a"), F.col("from_b").alias("unit_start_b"))
+
+
+def flagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = B.one_to_one(B.strong(_blocks(spark, sf_dir)))
+    return B.flagged(weighted_jaccard(spark, sf_dir), chosen).select("doc_id_a", "doc_id_b", "similarity")
 
 
 def pair_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.with_confidence(B.strong(_blocks(spark, sf_dir)))
-    return B.pair_summary(found, weighted_jaccard(spark, sf_dir)).drop("lines_a", "lines_b")
+    found = B.with_confidence(B.one_to_one(B.strong(_blocks(spark, sf_dir))))
+    return B.pair_summary(found, weighted_jaccard(spark, sf_dir))
 
 
 def severity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +171,27 @@ sb AS (SELECT *, hash_count / 5 AS density, 0.52::DOUBLE * (hash_count / 5) + 0.
   CASE WHEN hash_count / 5 >= 0.38 AND hash_count >= 3 THEN 'HIGH' WHEN hash_count / 5 >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM mb)"""
 )
 
+#: The weighted similarity beside the places, with names of its own where both have one.
+_BOTH = _WEIGHTS[len(_TOKENS) + 2 :].replace("g AS MATERIALIZED", "g2 AS MATERIALIZED").replace("FROM g)", "FROM g2)")
+#: The greedy choice, block by block: best first, none far below a unit's best, no unit twice.
+_CHOSEN = _PLACES + """,
+sr AS (SELECT *, round(score, 6) AS sc FROM sb),
+bs AS (SELECT *, max(sc) OVER (PARTITION BY doc_id_a, doc_id_b, unit_start_a) AS ba, max(sc) OVER (PARTITION BY doc_id_a, doc_id_b, unit_start_b) AS bb FROM sr),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id_a, doc_id_b ORDER BY sc DESC, hash_count DESC, unit_start_a, unit_start_b) AS rn FROM bs WHERE sc >= ba - 0.08::DOUBLE AND sc >= bb - 0.08::DOUBLE),
+gr AS (SELECT doc_id_a, doc_id_b, rn, [unit_start_a] AS la, [unit_start_b] AS lb, true AS took FROM rk WHERE rn = 1
+  UNION ALL SELECT rk.doc_id_a, rk.doc_id_b, rk.rn, CASE WHEN list_contains(la, unit_start_a) OR list_contains(lb, unit_start_b) THEN la ELSE list_append(la, unit_start_a) END,
+    CASE WHEN list_contains(la, unit_start_a) OR list_contains(lb, unit_start_b) THEN lb ELSE list_append(lb, unit_start_b) END, NOT (list_contains(la, unit_start_a) OR list_contains(lb, unit_start_b))
+  FROM gr JOIN rk ON gr.doc_id_a = rk.doc_id_a AND gr.doc_id_b = rk.doc_id_b AND rk.rn = gr.rn + 1),
+chosen AS (SELECT rk.* FROM rk JOIN gr USING (doc_id_a, doc_id_b, rn) WHERE took)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         adaptive_params, kgram_counts, winnow_fingerprints, fingerprint_places, inverted_index_df, idf_weights, boilerplate_antijoin, candidate_pairs, candidate_pairs_ref_policy,
-        weighted_jaccard, top_similar_pairs, file_level_jaccard, severity_levels, report_metadata, anon_labels,
+        weighted_jaccard, top_similar_pairs, file_level_jaccard, raw_matches, merged_blocks, strong_blocks, one_to_one_blocks, capped_blocks, flagged_pairs, pair_severity, severity_levels, report_metadata, anon_labels,
     )
 }
 
-#: Not registered yet: they do not finish in time.
-PENDING = {f.__name__: f for f in (merged_blocks, strong_blocks, one_to_one_blocks, pair_severity)}
-
 _ALL_SQL = {
     "adaptive_params": f"WITH {_TOKENS} SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, k, w FROM p",
     "kgram_counts": f"WITH {_GRAMS} SELECT doc_id, CAST(len(h) AS BIGINT) AS n_grams FROM g",
@@ -184,10 +211,16 @@ SELECT doc_id, count(*) AS n_kept FROM fp WHERE hash NOT IN (SELECT hash FROM bh
     "file_level_jaccard": f"WITH {_WEIGHTS} SELECT doc_id_a, doc_id_b, plain AS similarity FROM wj",
     "merged_blocks": f"WITH {_PLACES} SELECT doc_id_a, doc_id_b, unit_start_a, unit_start_b, hash_count, raw_match_count, round(hash_count / 5, 4) AS density FROM mb",
     "strong_blocks": f"WITH {_PLACES} SELECT doc_id_a, doc_id_b, unit_start_a, unit_start_b, round(round(score, 6), 4) AS score, confidence FROM sb",
-    "pair_severity": f"""WITH {_PLACES}, {_WEIGHTS[len(_TOKENS) + 2:].replace("g AS MATERIALIZED", "g2 AS MATERIALIZED").replace("FROM g)", "FROM g2)")},
-s AS (SELECT doc_id_a, doc_id_b, count(*) AS n_blocks, count(*) FILTER (confidence = 'HIGH') AS n_high, CAST(sum(hash_count * 200000) AS DOUBLE) / 1000000 / count(*) AS mean FROM sb GROUP BY ALL),
-v AS (SELECT s.*, similarity, round(0.45::DOUBLE * similarity + 0.35::DOUBLE * mean + 0.2::DOUBLE * n_high / n_blocks, 3) AS severity_score FROM s JOIN wj USING (doc_id_a, doc_id_b))
-SELECT doc_id_a, doc_id_b, n_blocks, n_high, round(mean, 3) AS avg_density, similarity, severity_score, CASE WHEN severity_score >= 0.7 THEN 'HIGH' WHEN severity_score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v""",
+    "raw_matches": f"WITH {_PLACES} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS n_matches, count(DISTINCT a.hash) AS n_hashes FROM fpl a JOIN fpl b ON a.hash = b.hash AND a.doc_id < b.doc_id GROUP BY ALL",
+    "one_to_one_blocks": f"WITH RECURSIVE {_CHOSEN} SELECT doc_id_a, doc_id_b, unit_start_a, unit_start_b FROM chosen",
+    "capped_blocks": f"""WITH RECURSIVE {_CHOSEN},
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id_a, doc_id_b ORDER BY score DESC, hash_count DESC, unit_start_a, unit_start_b) AS place FROM chosen)
+SELECT doc_id_a, doc_id_b, CAST(place AS INT) AS place, unit_start_a, unit_start_b FROM o WHERE place <= 12""",
+    "flagged_pairs": f"WITH RECURSIVE {_CHOSEN}, {_BOTH}\nSELECT doc_id_a, doc_id_b, similarity FROM wj SEMI JOIN chosen USING (doc_id_a, doc_id_b)",
+    "pair_severity": f"""WITH RECURSIVE {_CHOSEN}, {_BOTH},
+s AS (SELECT doc_id_a, doc_id_b, count(*) AS n_blocks, count(*) FILTER (confidence = 'HIGH') AS n_high, CAST(count(*) * 5 AS BIGINT) AS lines_a, CAST(count(*) * 5 AS BIGINT) AS lines_b, CAST(sum(hash_count * 200000) AS DOUBLE) / 1000000 / count(*) AS mean FROM chosen GROUP BY ALL),
+v AS (SELECT s.*, similarity, round(0.45::DOUBLE * similarity + 0.35::DOUBLE * mean + 0.2::DOUBLE * n_high / n_blocks, 4) AS severity_score FROM s JOIN wj USING (doc_id_a, doc_id_b))
+SELECT doc_id_a, doc_id_b, n_blocks, n_high, lines_a, lines_b, round(mean, 3) AS avg_density, similarity, severity_score, CASE WHEN severity_score >= 0.7 THEN 'HIGH' WHEN severity_score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v""",
     "severity_levels": f"WITH {_WEIGHTS} SELECT CASE WHEN similarity >= 0.7 THEN 'HIGH' WHEN similarity >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level, count(*) AS n_pairs FROM wj GROUP BY 1",
     "report_metadata": f"WITH {_WEIGHTS}, c AS (SELECT count(*) AS students FROM documents) SELECT students, students * (students - 1) // 2 AS possible_pairs, (SELECT count(*) FROM pr) AS candidates FROM c",
     "anon_labels": f"""WITH {_WEIGHTS}, top AS (SELECT * FROM wj ORDER BY similarity DESC, doc_id_a, doc_id_b LIMIT 20),
