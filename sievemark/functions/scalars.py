@@ -9,11 +9,37 @@ from sievemark import params as P
 
 
 def anon_label(rank: Column, prefix: str = "Student ") -> Column:
-    """A, B, ... Z, AA, AB, ... for ranks from 0 (up to 26 + 26^2 + 26^3 - 1)."""
-    letter = lambda x: F.chr(65 + F.pmod(x, F.lit(26)))
-    two, three = F.floor((rank - 26) / 26), F.floor((rank - 26 - 676) / 676)
-    name = F.when(rank < 26, letter(rank)).when(rank < 702, F.concat(letter(two), letter(rank))).otherwise(F.concat(letter(three), letter(F.floor((rank - 702) / 26)), letter(rank - 702)))
-    return F.concat(F.lit(prefix), name)
+    """A, B, ... Z, AA, AB, ... for ranks from 0: digits of base 26 without a zero, from the last one."""
+    digit = F.struct(F.lit("").alias("s"), rank.cast("long").alias("n"))
+    step = lambda acc, _: F.when(acc["n"] < 0, acc).otherwise(F.struct(F.concat(F.chr(65 + F.pmod(acc["n"], F.lit(26))), acc["s"]).alias("s"), (F.floor(acc["n"] / 26) - 1).alias("n")))
+    return F.concat(F.lit(prefix), F.aggregate(F.sequence(F.lit(1), F.lit(14)), digit, step)["s"])
+
+
+def local_time(utc: Column, zone: str = P.ZONE) -> Column:
+    """The clock of zone at a moment in UTC (both without a zone of their own)."""
+    return F.from_utc_timestamp(utc.cast("timestamp"), zone)
+
+
+def noon_of_day(utc: Column, zone: str = P.ZONE) -> Column:
+    """The moment in UTC of noon on the local day."""
+    return F.to_utc_timestamp(F.date_trunc("day", local_time(utc, zone)) + F.expr("interval 12 hours"), zone)
+
+
+def token_expiry(due: Column, now: Column) -> Column:
+    return F.coalesce(due, now + F.expr("interval 30 days"))
+
+
+def size_text(size: Column) -> Column:
+    """B, KB or MB, one decimal beyond bytes."""
+    kb, mb = F.round(size / 1024, 1).cast("decimal(18,1)"), F.round(size / 1048576, 1).cast("decimal(18,1)")
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(kb.cast("string"), F.lit(" KB"))).otherwise(F.concat(mb.cast("string"), F.lit(" MB")))
+
+
+def extension_allowed(name: Column, language: Column) -> Column:
+    """Whether a file may stand in a submission of that language; names without an extension may."""
+    extension = F.lower(F.regexp_extract(basename(name), "([.][^.]*)$", 1))
+    allowed = F.element_at(F.create_map(*[x for k, v in P.LANGUAGE_EXTENSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.lower(language))
+    return (extension == "") | F.coalesce(F.array_contains(allowed, extension), F.lit(False))
 
 
 def season(day: Column) -> Column:

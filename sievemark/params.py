@@ -22,3 +22,9 @@ PROSE_UNIT_LINES = 5
 ZONE, WARNING_DAYS, GRACE_DAYS = "America/Toronto", 15, 30
 #: Report without strong blocks: least density and number of blocks; a lone block that flags a pair; files that are the same.
 FALLBACK_DENSITY, FALLBACK_BLOCKS, LONE_DENSITY, SAME_FILE = 0.2, 8, 0.62, 0.90
+#: Similarity from which the dashboard shows a pair.
+DASHBOARD_SIMILARITY = 0.3
+#: Source extensions of a submission by language, those of any source file, and those that the front end reads (case counts).
+LANGUAGE_EXTENSIONS = {"c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".h", ".hpp", ".hh", ".hxx"), "java": (".java",), "python": (".py",)}
+SOURCE_EXTENSIONS = (".java", ".cpp", ".c", ".cc", ".h", ".hpp")
+JAVA_EXTENSIONS, C_EXTENSIONS = (".java",), (".cpp", ".cc", ".c", ".h", ".hpp", ".cxx", ".hxx", ".C")
