@@ -244,5 +244,6 @@ def pair_summary(blocks: DataFrame, scores: DataFrame, key: str = "doc_id") -> D
     mean = F.sum((F.col("density") * 1000000).cast("long")) / 1000000 / F.count("*")
     out = blocks.groupBy(*pair).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("confidence") == "HIGH").alias("n_high"), F.sum("length_a").alias("lines_a"), F.sum("length_b").alias("lines_b"), mean.alias("mean"))
     out = out.join(scores.select(*pair, "similarity"), pair)
-    value = F.round(severity(F.col("similarity"), F.col("mean"), F.col("n_high"), F.col("n_blocks")), 4)
-    return out.select(*pair, "n_blocks", "n_high", "lines_a", "lines_b", F.round("mean", 3).alias("avg_density"), "similarity", value.alias("severity_score"), level(value).alias("severity"))
+    # a hair above, so that halves go up whatever the binary fraction
+    value = F.round(severity(F.col("similarity"), F.col("mean"), F.col("n_high"), F.col("n_blocks")) + 1e-9, 4)
+    return out.select(*pair, "n_blocks", "n_high", "lines_a", "lines_b", F.round(F.col("mean") + 1e-9, 3).alias("avg_density"), "similarity", value.alias("severity_score"), level(value).alias("severity"))

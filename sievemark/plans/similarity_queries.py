@@ -219,8 +219,8 @@ SELECT doc_id_a, doc_id_b, CAST(place AS INT) AS place, unit_start_a, unit_start
     "flagged_pairs": f"WITH RECURSIVE {_CHOSEN}, {_BOTH}\nSELECT doc_id_a, doc_id_b, similarity FROM wj SEMI JOIN chosen USING (doc_id_a, doc_id_b)",
     "pair_severity": f"""WITH RECURSIVE {_CHOSEN}, {_BOTH},
 s AS (SELECT doc_id_a, doc_id_b, count(*) AS n_blocks, count(*) FILTER (confidence = 'HIGH') AS n_high, CAST(count(*) * 5 AS BIGINT) AS lines_a, CAST(count(*) * 5 AS BIGINT) AS lines_b, CAST(sum(hash_count * 200000) AS DOUBLE) / 1000000 / count(*) AS mean FROM chosen GROUP BY ALL),
-v AS (SELECT s.*, similarity, round(0.45::DOUBLE * similarity + 0.35::DOUBLE * mean + 0.2::DOUBLE * n_high / n_blocks, 4) AS severity_score FROM s JOIN wj USING (doc_id_a, doc_id_b))
-SELECT doc_id_a, doc_id_b, n_blocks, n_high, lines_a, lines_b, round(mean, 3) AS avg_density, similarity, severity_score, CASE WHEN severity_score >= 0.7 THEN 'HIGH' WHEN severity_score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v""",
+v AS (SELECT s.*, similarity, round(0.45::DOUBLE * similarity + 0.35::DOUBLE * mean + 0.2::DOUBLE * n_high / n_blocks + 1e-9, 4) AS severity_score FROM s JOIN wj USING (doc_id_a, doc_id_b))
+SELECT doc_id_a, doc_id_b, n_blocks, n_high, lines_a, lines_b, round(mean + 1e-9, 3) AS avg_density, similarity, severity_score, CASE WHEN severity_score >= 0.7 THEN 'HIGH' WHEN severity_score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM v""",
     "severity_levels": f"WITH {_WEIGHTS} SELECT CASE WHEN similarity >= 0.7 THEN 'HIGH' WHEN similarity >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level, count(*) AS n_pairs FROM wj GROUP BY 1",
     "report_metadata": f"WITH {_WEIGHTS}, c AS (SELECT count(*) AS students FROM documents) SELECT students, students * (students - 1) // 2 AS possible_pairs, (SELECT count(*) FROM pr) AS candidates FROM c",
     "anon_labels": f"""WITH {_WEIGHTS}, top AS (SELECT * FROM wj ORDER BY similarity DESC, doc_id_a, doc_id_b LIMIT 20),
