@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, new_path, of_worker, texts_of
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, documents, materialise, n_shuffle, new_path, of_worker
 
 MAGIC, BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = b"SVT1", 64 << 10, 16, 10, 7
 FOOTER = struct.Struct("<QIQQQB4s")
@@ -213,6 +213,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         splits = (json.loads(tokenizer_json).get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = any(x.get("pattern") == {"Regex": WORD_PATTERN} and x.get("behavior") == "Removed" and x.get("invert") for x in splits)
+        # the strings of added tokens are cut out before words are; texts that hold one are encoded whole
+        self.added = [x["content"] for x in json.loads(tokenizer_json).get("added_tokens") or []]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         if suffix:
@@ -252,11 +254,17 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text, null as empty, with end_id behind."""
         last = np.array([] if end_id is None else [end_id], "<u4")
-        if not self.by_word:
-            for raw in self._encoded(texts_of(texts)):
-                yield np.concatenate([np.frombuffer(raw, "<u4"), last])
-            return
-        spaced = pc.replace_substring_regex(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), WORD_END, r"\1 \2")
+        texts = pc.fill_null(texts, "")
+        whole = pa.array([not self.by_word] * len(texts), pa.bool_())
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        by_word = self._by_word(texts.filter(pc.invert(whole)))
+        for i, as_one in enumerate(whole.to_pylist()):
+            ids = np.frombuffer(self._encoded([texts[i].as_py()])[0], "<u4") if as_one else next(by_word)
+            yield np.concatenate([ids, last])
+
+    def _by_word(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        spaced = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_END, r"\1 \2")
         split = pc.split_pattern(spaced, " ")
         words = split.flatten().dictionary_encode()
         each = self._ids(words.dictionary.to_pylist())
@@ -267,9 +275,9 @@ class WordEncoder:
         n = sizes[number]
         ends = np.cumsum(n)
         ids = flat[np.repeat(starts[number] - (ends - n), n) + np.arange(n.sum())]
-        of_text = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]]
+        of_text = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]]
         for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True):
-            yield np.concatenate([ids[a:b], last])
+            yield ids[a:b]
 
 
 def _per_worker(tokenizer_json: str) -> WordEncoder:
