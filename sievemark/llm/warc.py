@@ -2,7 +2,7 @@
 
 An archive is two Parquet tables below one folder: payloads (sha256, payload_bytes, payload) and
 headers (page_id, sha256, payload_bytes, header). A header is the record's exact header block up to and
-with the empty line. Reading recomputes every payload's digest and fails on a mismatch.
+with the empty line. Reading recomputes every payload's digest, rebuilds the records' bytes by joins, parses those and fails on a mismatch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, documents
+from sievemark.llm.common import arrow_schema, batch_of, documents, materialise
 
 #: The date that records carry, and the digits of radix 32 with their base32 letters.
 DATE, RADIX_32, BASE_32 = "2024-01-01T00:00:00Z", "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -45,8 +45,9 @@ def write_archive(pages: DataFrame, root: str, dedupe_min_bytes: int = 0) -> Non
     records = documents(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), raw.alias("payload"))
     records = records.select("page_id", "url", "payload", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     records.groupBy("sha256", "payload_bytes").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{root}/payloads")
-    light = records.select("page_id", "url", "sha256", "payload_bytes", base32_of_sha1(F.sha1("payload")).alias("sha1"))
-    firsts = light.groupBy("sha256", "payload_bytes").agg(F.min("page_id").alias("first_id"))
+    light = materialise(records.select("page_id", "url", "sha256", "payload_bytes", base32_of_sha1(F.sha1("payload")).alias("sha1")), "warc-light")
+    # written, so that the join below has bare shuffles on both sides: only then is a payload that many pages share dealt to several tasks
+    firsts = materialise(light.groupBy("sha256", "payload_bytes").agg(F.min("page_id").alias("first_id")), "warc-firsts")
     dealt = light.join(firsts, ["sha256", "payload_bytes"])
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= dedupe_min_bytes)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -79,20 +80,56 @@ def _field(header: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
-def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to; digests are those of the bytes read."""
-    bodies = _payloads(spark, root).select("sha256", "payload_bytes", base32_of_sha1(F.sha1("payload")).alias("payload_digest"))
-    heads = spark.read.parquet(f"{root}/headers").select("sha256", "payload_bytes", F.decode("header", "UTF-8").alias("h"))
-    joined = heads.join(bodies, ["sha256", "payload_bytes"], "left")
-    digest = F.when(F.col("payload_digest") == F.regexp_extract("h", "WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's payload is missing or has another digest")))
-    return joined.select(_field(F.col("h"), "X-Page").cast("long").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), _field(F.col("h"), "WARC-Type").alias("record_type"), _field(F.col("h"), "X-Refers-To-Page").cast("long").alias("refers_to"))
-
-
 def reconstruct(spark: SparkSession, root: str, full: bool = False) -> DataFrame:
-    """page_id and the record's bytes; full: revisits too with the payload they refer to."""
+    """page_id and the record's exact bytes; full: revisits too with the payload they refer to.
+
+    Fails where a payload is damaged or missing.
+    """
     heads = spark.read.parquet(f"{root}/headers")
-    body = F.col("payload") if full else F.when(F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
-    return heads.join(_payloads(spark, root), ["sha256", "payload_bytes"]).select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
+    revisits = F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n")
+    end = F.lit(b"\r\n\r\n")
+    joined = (heads if full else heads.where(~revisits)).join(_payloads(spark, root), ["sha256", "payload_bytes"], "left")
+    body = F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("missing payload "), F.col("sha256"))))
+    whole = joined.select("page_id", F.concat("header", body, end).alias("record"))
+    return whole if full else whole.union(heads.where(revisits).select("page_id", F.concat("header", end).alias("record")))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """Per rebuilt record what its own bytes say: page_id, record_type, refers_to, told (its digest field), body_bytes, body_digest.
+
+    The header ends at the first empty line, the body has Content-Length bytes and an end mark behind it; others fail.
+    """
+    at = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n")
+    cut = records.select("record", at.alias("at")).select("record", "at", F.decode(F.expr("substring(record, 1, at + 3)"), "UTF-8").alias("h"))
+    cut = cut.select("record", "at", "h", _field(F.col("h"), "Content-Length").cast("int").alias("n"))
+    sound = (F.col("at") > 0) & (F.octet_length("record") == F.col("at") + F.col("n") + 7) & (F.expr("substring(record, at + n + 4)") == F.lit(b"\r\n\r\n"))
+    body = F.when(sound, F.expr("substring(record, at + 4, n)")).otherwise(F.raise_error(F.lit("a record's length does not fit its header")))
+    cut = cut.select("h", body.alias("body"))
+    return cut.select(
+        _field(F.col("h"), "X-Page").cast("long").alias("page_id"),
+        _field(F.col("h"), "WARC-Type").alias("record_type"),
+        _field(F.col("h"), "X-Refers-To-Page").cast("long").alias("refers_to"),
+        F.regexp_extract("h", "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]*)\r\n", 1).alias("told"),
+        F.octet_length("body").cast("long").alias("body_bytes"),
+        base32_of_sha1(F.sha1("body")).alias("body_digest"),
+    )
+
+
+def read_records(spark: SparkSession, root: str) -> DataFrame:
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, all from the records rebuilt byte by byte.
+
+    A response's size and digest are those of its own body, and its header has to tell that digest. A revisit has those of the
+    response that it refers to, which has to be there with the digest that the revisit tells.
+    """
+    read = materialise(parsed(reconstruct(spark, root)), "warc-read")
+    proved = F.when(F.col("told") == F.col("body_digest"), F.col("told")).otherwise(F.raise_error(F.lit("a response's body has another digest")))
+    responses = read.where("record_type = 'response'").select("page_id", F.col("body_bytes").alias("payload_bytes"), proved.alias("payload_digest"), "record_type", "refers_to")
+    # written, as in write_archive: many records may revisit one
+    known = materialise(responses.where("page_id is not null").groupBy("page_id", "payload_digest").agg(F.min("payload_bytes").alias("payload_bytes")), "warc-known")
+    known = known.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("told"), "payload_bytes")
+    revisits = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "told").join(known, ["refers_to", "told"], "left")
+    size = F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a revisit's response is missing")))
+    return responses.union(revisits.select("page_id", size.alias("payload_bytes"), F.col("told").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:

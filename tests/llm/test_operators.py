@@ -220,6 +220,29 @@ def test_records_are_rebuilt(spark, tmp_path):
     assert Counter(os.path.basename(r["path"]) for r in read) == {"all.warc": 4, "cut.warc": 1}
 
 
+def test_damage_is_seen(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x" * 50), (2, "http://b", "x" * 50), (3, "http://c", "y")], "page_id long, url string, html string")
+
+    def archive(change_heads=lambda h: h, change_payloads=lambda p: p):
+        root, broken = new_path(spark, "test-warc"), new_path(spark, "test-warc")
+        warc.write_archive(pages, root)
+        change_heads(spark.read.parquet(f"{root}/headers")).write.parquet(f"{broken}/headers")
+        change_payloads(spark.read.parquet(f"{root}/payloads")).write.parquet(f"{broken}/payloads")
+        return broken
+
+    assert warc.read_records(spark, archive()).count() == 3
+    header = F.decode("header", "UTF-8")
+    for root, says in (
+        (archive(change_payloads=lambda p: p.where("payload_bytes > 1")), "missing payload"),
+        (archive(change_payloads=lambda p: p.withColumn("payload", F.encode(F.lit("z" * 50), "UTF-8"))), "damaged payload"),
+        (archive(lambda h: h.withColumn("header", F.encode(F.regexp_replace(header, "Content-Length: 50", "Content-Length: 51"), "UTF-8"))), "length does not fit"),
+        (archive(lambda h: h.withColumn("header", F.encode(F.regexp_replace(header, "sha1:.", "sha1:7"), "UTF-8"))), "another digest"),
+        (archive(lambda h: h.where("page_id <> 1")), "response is missing"),
+    ):
+        with pytest.raises(Exception, match=says):
+            warc.read_records(spark, root).collect()
+
+
 # --- sharding
 def test_equal_texts_share_a_shard(spark):
     got = queries.op5_sharding(spark, SF).withColumnRenamed("shard", "s").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.md5("text").alias("m")), "doc_id").collect()
