@@ -14,7 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,34 +39,50 @@ SAYS_NOT = frozenset(
 TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Words that make a class tell of what the element has or lacks, not of what it is.
+QUALIFIES = frozenset("has have with without no not hide show".split())
+#: What may hold <article> elements of its own that are not the page's: comments, teasers, adverts.
+OTHERS = SAYS_NOT & frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion promotions related recommended recommendations teaser teasers comment comments commentlist respond reply replies disqus discussion".split())
+#: The slash of an empty element, not the end of a value without quotes.
+EMPTY = re.compile(r"""(?:^|[\s"'])/$""")
 
 
-def _declared(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element says it is no article, and whether it says it is one."""
+def _class_words(value: str) -> set[str]:
+    """The words of a class, id or role, of each name those before the first qualifying word ("layout" of "layout-with-sidebar")."""
+    return {w for name in value.split() for w in takewhile(lambda w: w not in QUALIFIES, (w.lower() for w in WORD.findall(name)))}
+
+
+def _declared(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str], bool]:
+    """Whether an element cannot be article, the words of its classes that say it is none, and whether it says it is one."""
     if name in NOT_ARTICLE or (name == "header" and not in_article):
-        return True, False
-    region = name in ("article", "main")
+        return True, set(), False
+    region, says = name in ("article", "main"), set()
     if attributes and not attributes.isspace():
         for m in NAMED.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                return True, False
+                return True, set(), False
             if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-                words = {w.lower() for w in WORD.findall(value)}
-                if words & SAYS_NOT:
-                    return True, False
+                words = _class_words(value)
+                says |= words & SAYS_NOT
                 if key == "role" and words & {"main", "article"}:
                     region = True
             if key == "itemprop" and value.lower() == "articlebody":
                 region = True
-    return False, region
+    return False, says, region
+
 
+def lines_of(page: str, opened: set[int] = frozenset(), around: set[int] | None = None, within: set[int] | None = None) -> list[tuple[str, int, int]]:
+    """The page's lines: text, characters within links, and the number of the outermost article element around it (0: none).
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """The page's lines: text, characters within links, and the number of the outermost article element around it (0: none)."""
+    Elements are dropped for their classes, but those that begin at a place in opened. Of those dropped so, around takes the places of
+    what holds an article element, and within those of what is in one and holds text; comments, teasers and adverts are neither.
+    """
     out: list[tuple[str, int, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, dropped, article, dropped for its classes, for such as comments
+    classed: list[int] = []  # where the open ones dropped for their classes begin
+    others = 0  # open ones dropped for more than layout's classes
     open_names: Counter[str] = Counter()
     dropped = links = linked = region = regions = 0
     at, n = 0, len(page)
@@ -81,11 +97,13 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         linked = 0
 
     def pop() -> None:
-        nonlocal dropped, region
-        name, was_dropped, was_region = stack.pop()
+        nonlocal dropped, others, region
+        name, was_dropped, was_region, was_classed, was_other = stack.pop()
         open_names[name] -= 1
-        if was_dropped:
-            dropped -= 1
+        dropped -= was_dropped
+        others -= was_other
+        if was_classed:
+            classed.pop()
         if was_region:
             region = 0
 
@@ -101,6 +119,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             buffer.append(piece)
             if links:
                 linked += len(piece)
+        elif within is not None and region and classed and not others and end > at and not page[at:end].isspace():
+            within.add(classed[0])
         if not m:
             break
         at = m.end()
@@ -122,23 +142,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         if name == "a":
             links = 1
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or EMPTY.search(attributes):
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if name in BLOCK and stack and stack[-1][0] == "p":
+        if stack and ((name in BLOCK and stack[-1][0] == "p") or (name == "li" and stack[-1][0] == "li") or (name in ("dt", "dd") and stack[-1][0] in ("dt", "dd"))):
             pop()
-        no, yes = _declared(name, attributes, region > 0)
+        never, says, yes = _declared(name, attributes, region > 0)
+        by_class = bool(says) and m.start() not in opened
+        no, other = never or by_class, never or (by_class and bool(says & OTHERS))
+        if around is not None and yes and classed and not others and not other and not region:
+            for place in reversed(classed):  # those below a known one are known
+                if place in around:
+                    break
+                around.add(place)
         if name in HOLDER or no:
             starts = yes and not region and not dropped and not no
             if starts:
                 regions += 1
                 region = regions
-            stack.append((name, no, starts))
+            stack.append((name, no, starts, by_class and not never, other))
             open_names[name] += 1
             dropped += no
+            others += other
+            if by_class and not never:
+                classed.append(m.start())
     flush()
     return out
 
@@ -160,15 +190,28 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
     return list(zip(surges, dives, strict=True))
 
 
-def main_text(page: str) -> str:
-    """The main text: blocks in page order, joined by an empty line."""
-    lines = lines_of(page)
+def _text_of(lines: list[tuple[str, int, int]]) -> str:
     if any(region for *_, region in lines):
         lines = [(text, 0, region) for text, _, region in lines if region]
     weights = [0 if 2 * links > len(text) else len(text) for text, links, _ in lines]
     return "\n\n".join(text for a, b in stretches(weights) for text, *_ in lines[a:b])
 
 
+def main_text(page: str) -> str:
+    """The main text: blocks in page order, joined by an empty line.
+
+    A class such as "sidebar" is not believed of a wrapper around everything: where no article element with text is left, what was dropped for
+    its classes and holds one (or else is in one) is opened, if that gives more text. Comments, teasers and adverts never are.
+    """
+    around: set[int] = set()
+    within: set[int] = set()
+    lines = lines_of(page, around=around, within=within)
+    text = _text_of(lines)
+    if (around or within) and not any(region for *_, region in lines):
+        text = max(text, _text_of(lines_of(page, around or within)), key=len)
+    return text
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points). One narrow pass.
 

@@ -1,5 +1,9 @@
 """Main text of pages that mark no article, or more than one."""
 
+import time
+
+import pytest
+
 from sievemark.llm.html_text import main_text
 
 LONG, CLOSING = "A sentence of the article. " * 150, "How the matter ended. " * 41
@@ -32,3 +36,35 @@ def test_all_article_regions_stay():
     assert main_text(page) == blocks(LONG, CLOSING, "Nested")
     page = f'<body><div itemprop="articleBody">{CLOSING}</div><div>Outside</div><div itemprop="articleBody">{LONG}</div></body>'
     assert main_text(page) == blocks(CLOSING, LONG)
+
+
+SENTENCE = "A sentence of the article here. " * 8
+ARTICLE = f"<p>{SENTENCE}</p>"
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "no-sidebar", "content has-comments"])
+@pytest.mark.parametrize("page", ["<body><div class='{}'>{}</div></body>", "<article><div class='{}'>{}</div></article>"])
+def test_classes_that_tell_of_what_is_beside(name, page):
+    assert main_text(page.format(name, ARTICLE)) == SENTENCE.strip()
+
+
+@pytest.mark.parametrize("page", ["<div class='page sidebar'><main>{}</main></div>", "<main><div class='search-results'>{}</div></main>", "<div id=banner><div class=menu><article>{}</article></div></div>"])
+def test_wrappers_around_the_article(page):
+    assert main_text(page.format(ARTICLE)) == SENTENCE.strip()
+
+
+@pytest.mark.parametrize("beside", ["<div class=sidebar><article>teaser</article></div>", "<ol class=comments><li><article>{}{}</article></ol>", "<div class=related><main>{}{}</main></div>"])
+def test_articles_that_are_not_the_page(beside):
+    assert main_text(f"<div class=content>{ARTICLE}</div>" + beside.format(ARTICLE, ARTICLE)) == SENTENCE.strip()
+
+
+def test_items_without_end_tags_and_slashes_in_values():
+    assert main_text("<main><ul><li class=ad>buy<li>one<li>two</ul></main>") == "one\n\ntwo"
+    assert main_text(f"<main><div class=ad data-u=/x/>buy</div>{ARTICLE}</main>") == SENTENCE.strip()
+
+
+@pytest.mark.parametrize("page", ["<div class=sidebar>" * 15000 + "<article>" * 15000, "<div class=comments>" * 15000 + "x<article>" * 15000, "<main>" + "<div class=sidebar>x" * 20000, "<li class=ad>" * 30000])
+def test_deep_wrappers_are_quick(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 2
