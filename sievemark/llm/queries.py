@@ -89,7 +89,13 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_html_text, op4_decontaminate, op5_sharding, op6_quality, op7_warc, op8_fingerprint, op9_bpe, op10_sstable, op11_filter_audit, op12_exact_dedup)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievemark.llm import collocations
+
+    return collocations.mine(_table(spark, sf_dir, "documents"), most=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_html_text, op4_decontaminate, op5_sharding, op6_quality, op7_warc, op8_fingerprint, op9_bpe, op10_sstable, op11_filter_audit, op12_exact_dedup, op13_collocations)}
 
 _AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
@@ -115,9 +121,25 @@ y AS (SELECT part, filter_order, step, bit,
   FROM c, s GROUP BY ALL)
 SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM y"""
 
+_COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, s AS size, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM o, range(1, 6) r(s) WHERE i + s - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS q FROM f WHERE size > 1),
+d AS (SELECT lang, array_to_string(q[1:size - 1], ' ') AS phrase, a FROM c WHERE size > 2 UNION ALL SELECT lang, array_to_string(q[2:], ' '), a FROM c WHERE size > 2),
+k AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(a) AS m FROM d GROUP BY ALL) x ON c.lang = x.lang AND c.phrase = x.phrase WHERE m IS NULL OR 100 * m < 100 * a),
+u AS (SELECT k.lang, k.phrase, a, x.f AS l, y.f AS r, n, cut, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k, range(1, 5) s(cut), f x, f y, t WHERE cut < k.size AND x.lang = k.lang AND y.lang = k.lang AND t.lang = k.lang AND x.phrase = array_to_string(q[1:cut], ' ') AND y.phrase = array_to_string(q[cut + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b)
+SELECT * FROM z WHERE rank <= 2000"""
+
 SQL: dict[str, str] = {
     "op11_filter_audit": _AUDIT,
     "op12_exact_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+    "op13_collocations": _COLLOCATIONS,
 }
