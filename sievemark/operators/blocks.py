@@ -6,11 +6,16 @@ loop_subtype and method_start, method_end, method_name (null where there is none
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark import params as P
 from sievemark.functions.scalars import basename
+from sievemark.functions.spans import Units
 
 UNIT = ("file", "start", "end", "unit_type", "unit_start", "unit_end", "unit_name", "loop_start", "loop_end", "loop_subtype", "method_start", "method_end", "method_name")
 
@@ -35,6 +40,33 @@ def with_units(prints: DataFrame, spans: str = "spans") -> DataFrame:
     return out.withColumns(named | {"loop_subtype": F.col("_l.loop_subtype")}).drop("_u", "_l", "_m", spans)
 
 
+def labelled(files: DataFrame, prints: str = "prints", spans: str = "spans") -> DataFrame:
+    """A row for each print of files, with the unit columns of with_units: one sweep over a file's spans, and a search in it for each print.
+
+    files has an array of prints (hash, start, end and others) and one of spans for each file; no print carries the spans along.
+    """
+    kept = [f for f in files.schema if f.name not in (prints, spans)]
+    own = files.schema[prints].dataType.elementType
+    units = [("unit_type", "string"), ("unit_start", "int"), ("unit_end", "int"), ("unit_name", "string"), ("loop_start", "int"), ("loop_end", "int"), ("method_start", "int"), ("method_end", "int"), ("method_name", "string"), ("loop_subtype", "string")]
+    schema = T.StructType([*kept, *own.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in units]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = batch.column(prints)[i].as_py() or []
+                of = Units([(s["type"], s["start"], s["end"], s["name"], s["loop_subtype"]) for s in batch.column(spans)[i].as_py() or []])
+                nothing = (None,) * 5
+                around = [(of.around(p["start"], p["end"]) or nothing, of.around(p["start"], p["end"], "LOOP") or nothing, of.around(p["start"], p["end"], "METHOD") or nothing) for p in found]
+                columns = [[batch.column(f.name)[i].as_py()] * len(found) for f in kept] + [[p[f.name] for p in found] for f in own.fields]
+                columns += [[u[k] for u, _, _ in around] for k in range(4)] + [[x[k] for _, x, _ in around] for k in (1, 2)] + [[m[k] for _, _, m in around] for k in (1, 2, 3)] + [[x[4] for _, x, _ in around]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return files.mapInArrow(run, schema)
+
+
 def compatible(a: Column, b: Column) -> Column:
     """Unit types that may match: equal ones, unknown ones, and those within METHOD, LOOP, IF or METHOD, LOOP, SWITCH."""
     both = lambda *t: a.isin(*t) & b.isin(*t)
@@ -54,12 +86,14 @@ def prose_units(prints: DataFrame) -> DataFrame:
 def matches(prints: DataFrame, key: str = "doc_id", pairs: DataFrame | None = None) -> DataFrame:
     """Every occurrence of a hash in one document with every one in another, where the units may match.
 
-    pairs (key_a, key_b), if given, are the only ones; they reach the join as a semi-join.
+    Where pairs (key_a, key_b) are given, only they are looked at: a pair's prints are met by pair and hash, and no other pair is made.
     """
     side = lambda s: prints.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in (key, *UNIT)])
     a, b = side("a"), side("b")
-    found = a.join(b, (a["hash"] == b["hash"]) & (a[f"{key}_a"] < b[f"{key}_b"]) & compatible(F.col("unit_type_a"), F.col("unit_type_b"))).drop(b["hash"])
-    return found.join(pairs.select(f"{key}_a", f"{key}_b"), [f"{key}_a", f"{key}_b"], "left_semi") if pairs is not None else found
+    fits = compatible(F.col("unit_type_a"), F.col("unit_type_b"))
+    if pairs is not None:
+        return pairs.select(f"{key}_a", f"{key}_b").join(a, f"{key}_a").join(b, [f"{key}_b", "hash"]).where(fits)
+    return a.join(b, (a["hash"] == b["hash"]) & (a[f"{key}_a"] < b[f"{key}_b"]) & fits).drop(b["hash"])
 
 
 def _with_reporting_unit(found: DataFrame) -> DataFrame:
@@ -174,10 +208,12 @@ def capped(blocks: DataFrame, key: str = "doc_id", most: int = P.MAX_STRONG_BLOC
     return blocks.withColumn("place", F.row_number().over(_best_first(key))).where(F.col("place") <= most)
 
 
-def weak_fallback(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For pairs flagged without a strong block: the densest blocks, of FALLBACK_DENSITY at least."""
-    order = Window.partitionBy(f"{key}_a", f"{key}_b").orderBy(F.desc("density"), F.desc("hash_count"), "from_a", "from_b")
-    return blocks.where(F.col("density") >= P.FALLBACK_DENSITY).withColumn("place", F.row_number().over(order)).where(F.col("place") <= P.FALLBACK_BLOCKS)
+def weak_fallback(blocks: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For pairs of blocks that have none in chosen: the densest ones, of FALLBACK_DENSITY at least, FALLBACK_BLOCKS at most, with their place."""
+    pair = [f"{key}_a", f"{key}_b"]
+    order = Window.partitionBy(*pair).orderBy(F.desc("density"), F.desc("hash_count"), "file_a", "from_a", "file_b", "from_b")
+    weak = blocks.join(chosen.select(*pair).distinct(), pair, "left_anti").where(F.col("density") >= P.FALLBACK_DENSITY)
+    return weak.withColumn("place", F.row_number().over(order)).where(F.col("place") <= P.FALLBACK_BLOCKS)
 
 
 def flagged(scores: DataFrame, chosen: DataFrame, key: str = "doc_id", threshold: float = 0.0) -> DataFrame:
@@ -188,24 +224,31 @@ def flagged(scores: DataFrame, chosen: DataFrame, key: str = "doc_id", threshold
     return scores.join(of, pair).where(good).select(scores.columns)
 
 
-def file_similarity(prints: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per pair and file name: plain Jaccard of the hashes, three decimals; of equally named files in b the first counts."""
+def file_similarity(prints: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per pair of pairs (key_a, key_b) and file of its first side that has a namesake on the second: plain Jaccard of the hashes, three decimals.
+
+    Of several files of that name on the second side the first by path counts, whether it shares a hash or not.
+    """
     sets = prints.select(key, "file", "hash").distinct()
-    sizes = sets.groupBy(key, "file").agg(F.count("*").alias("size"))
-    side = lambda s: sets.select("hash", F.col(key).alias(f"{key}_{s}"), F.col("file").alias(f"file_{s}"), basename(F.col("file")).alias("name"))
-    shared = side("a").join(side("b"), ["hash", "name"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).groupBy(f"{key}_a", f"{key}_b", "file_a", "file_b").agg(F.count("*").alias("shared"))
-    for s in "ab":
-        shared = shared.join(sizes.select(F.col(key).alias(f"{key}_{s}"), F.col("file").alias(f"file_{s}"), F.col("size").alias(f"size_{s}")), [f"{key}_{s}", f"file_{s}"])
+    sizes = sets.groupBy(key, "file").agg(F.count("*").alias("size")).withColumn("name", basename(F.col("file")))
+    first = sizes.groupBy(key, "name").agg(F.min(F.struct("file", "size")).alias("f"))
+    of_a = sizes.select(F.col(key).alias(f"{key}_a"), "name", F.col("file").alias("file_a"), F.col("size").alias("size_a"))
+    of_b = first.select(F.col(key).alias(f"{key}_b"), "name", F.col("f.file").alias("file_b"), F.col("f.size").alias("size_b"))
+    met = pairs.select(f"{key}_a", f"{key}_b").join(of_a, f"{key}_a").join(of_b, [f"{key}_b", "name"]).drop("name")
+    side = lambda s: sets.select(F.col(key).alias(f"{key}_{s}"), F.col("file").alias(f"file_{s}"), "hash")
+    files = [f"{key}_a", "file_a", f"{key}_b", "file_b"]
+    shared = met.select(*files).join(side("a"), files[:2]).join(side("b"), [*files[2:], "hash"]).groupBy(*files).agg(F.count("*").alias("shared"))
+    both = met.join(shared, files, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     value = F.round(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 3)
-    first = shared.groupBy(f"{key}_a", f"{key}_b", "file_a").agg(F.min(F.struct("file_b", value.alias("v"))).alias("m"))
-    return first.select(f"{key}_a", f"{key}_b", "file_a", F.col("m.file_b").alias("file_b"), F.col("m.v").alias("similarity"))
+    return both.select(f"{key}_a", f"{key}_b", "file_a", "file_b", value.alias("similarity"))
 
 
 def file_blocks(similar: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A block over each pair of files that are nearly the same: lines 1 to the last that matches."""
+    """A block over each pair of files that are nearly the same: lines 1 to the last that matches in files of that name."""
     by = [f"{key}_a", f"{key}_b", "file_a", "file_b"]
-    last = found.groupBy(*by).agg(F.max("end_a").alias("to_a"), F.max("end_b").alias("to_b"))
-    near = similar.where(F.col("similarity") >= P.SAME_FILE).join(last, by, "left")
+    name, pair = basename(F.col("file_a")), [f"{key}_a", f"{key}_b", "_name"]
+    last = found.where(name == basename(F.col("file_b"))).groupBy(*pair[:2], name.alias("_name")).agg(F.max("end_a").alias("to_a"), F.max("end_b").alias("to_b"))
+    near = similar.where(F.col("similarity") >= P.SAME_FILE).withColumn("_name", name).join(last, pair, "left")
     one = lambda c: F.coalesce(c, F.lit(1)).cast("int")
     return near.select(*by, F.lit("FILE").alias("type"), F.lit(1).alias("from_a"), one("to_a").alias("to_a"), F.lit(1).alias("from_b"), one("to_b").alias("to_b"), F.col("similarity").alias("density"), F.lit("HIGH").alias("confidence"))
 

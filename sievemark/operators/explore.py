@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +56,67 @@ def anonymised(pairs: DataFrame, run: str) -> DataFrame:
     return pairs
 
 
-def block_frequency(blocks: DataFrame, width: int = 50) -> DataFrame:
+#: Slices of a file's lines, and the least lines of one.
+SLICES, SLICE_LINES = 32, 64
+#: What lies before every line and behind every line.
+BEFORE, BEHIND = -(1 << 31), 1 << 31
+
+
+def _gaps(spans: DataFrame) -> DataFrame:
+    """name, x, y: for each pair and name the stretches without a block of it, after line x and before line y."""
+    within = Window.partitionBy("pair", "name").orderBy("start_a", "end_a")
+    reached = F.coalesce(F.max("end_a").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(BEFORE))
+    inner = spans.select("pair", "name", "start_a", reached.cast("long").alias("x")).where("start_a > x + 1").select("name", "x", F.col("start_a").cast("long").alias("y"))
+    last = spans.groupBy("pair", "name").agg(F.max("end_a").cast("long").alias("x")).select("name", "x", F.lit(BEHIND).cast("long").alias("y"))
+    return inner.unionByName(last)
+
+
+def _held_within(batch: pa.Table) -> pa.Table:
+    """For the questions (kind 2) of one slice of a name: how many gaps (kind 1, and 0 for those that begin before the slice) hold lines x to y."""
+    kind, x, y, n = (batch.column(c).to_numpy() for c in ("kind", "x", "y", "n"))
+    ends, at = np.unique(y[kind != 2], return_inverse=True)
+    gaps_x, gaps_n = x[kind != 2], n[kind != 2]
+    gaps_x = np.where(kind[kind != 2] == 0, np.iinfo(np.int64).min, gaps_x)
+    order = np.argsort(gaps_x, kind="stable")
+    gaps_x, gaps_n, at = gaps_x[order], gaps_n[order], at[order]
+    asked_x, asked_y = x[kind == 2], y[kind == 2]
+    out, so_far, done = np.zeros(len(asked_x), np.int64), np.zeros(len(ends) + 1, np.int64), 0
+    for start in np.unique(asked_x):  # the lines of a slice
+        upto = np.searchsorted(gaps_x, start)
+        np.add.at(so_far, at[done:upto], gaps_n[done:upto])
+        done = upto
+        here = asked_x == start
+        longer = so_far[::-1].cumsum()[::-1]
+        out[here] = longer[np.searchsorted(ends, asked_y[here], side="right")]
+    name = pa.array([batch.column("name")[0].as_py()] * len(out), pa.string())
+    return pa.table({"name": name, "x": pa.array(asked_x, pa.int64()), "y": pa.array(asked_y, pa.int64()), "held": pa.array(out, pa.int64())})
+
+
+def block_frequency(blocks: DataFrame) -> DataFrame:
     """blocks (pair, block_id, file_a, start_a, end_a) with the number of other pairs that have a block over the same lines of an equally named file.
 
-    The join is by name and bucket of width lines, so a long file is no hot key.
+    Pairs are not joined with pairs. A pair has no block over lines s to e where a gap between its blocks holds them all, so the
+    others are all pairs of that name but one, less the gaps with x < s and y > e. Equal gaps and equal questions (name, s, e) are counted
+    first, and a name's lines are cut into SLICES: a slice gets the gaps that begin in it, those before it by
+    their ends only, and its questions. What moves grows with the blocks, and a group with the lines of a file, however many pairs share it.
     """
-    bucket = F.explode(F.sequence(F.floor(F.col("start_a") / width), F.floor(F.col("end_a") / width))).alias("bucket")
-    spans = blocks.select("pair", "block_id", basename(F.col("file_a")).alias("name"), "start_a", "end_a", bucket)
-    others = spans.select("name", "bucket", F.col("pair").alias("other"), F.col("start_a").alias("from"), F.col("end_a").alias("to"))
-    met = spans.join(others, ["name", "bucket"]).where("other <> pair and from <= end_a and start_a <= to").groupBy("pair", "block_id").agg(F.count_distinct("other").alias("others"))
-    return blocks.join(met, ["pair", "block_id"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    spans = blocks.select("pair", basename(F.col("file_a")).alias("name"), "start_a", "end_a").where("name is not null")
+    gaps = _gaps(spans).groupBy("name", "x", "y").agg(F.count("*").alias("n"))
+    asked = spans.groupBy("name", F.col("start_a").cast("long").alias("x"), F.col("end_a").cast("long").alias("y")).agg(F.count("*").alias("n"))
+    of_name = spans.groupBy("name").agg(F.max("start_a").cast("long").alias("lines"))
+    pairs = spans.select("pair", "name").distinct().groupBy("name").agg(F.count("*").alias("pairs"))
+    width = F.greatest(F.lit(SLICE_LINES), F.ceil((F.col("lines") + 1) / SLICES))
+    sliced = lambda df: df.join(of_name, "name").withColumn("slice", F.greatest(F.lit(0), F.floor(F.col("x") / width)))
+    gaps, asked = sliced(gaps).where("x < lines").drop("lines"), sliced(asked).drop("lines")  # a gap behind all questions holds none
+    later = asked.select("name", F.col("slice").alias("to")).distinct()  # SLICES for each name at most
+    before = gaps.groupBy("name", "slice", "y").agg(F.sum("n").alias("n")).join(later, "name").where("slice < to")
+    before = before.groupBy("name", F.col("to").alias("slice"), "y").agg(F.sum("n").alias("n"))
+    row = lambda df, kind, x: df.select("name", "slice", F.lit(kind).alias("kind"), x.cast("long").alias("x"), "y", F.col("n").cast("long").alias("n"))
+    every = row(before, 0, F.lit(0)).unionByName(row(gaps, 1, F.col("x"))).unionByName(row(asked, 2, F.col("x")))
+    held = every.groupBy("name", "slice").applyInArrow(_held_within, "name string, x long, y long, held long")
+    counts = held.join(pairs, "name").select("name", "x", "y", (F.col("pairs") - 1 - F.col("held")).alias("others"))
+    keyed = blocks.withColumns({"name": basename(F.col("file_a")), "x": F.col("start_a").cast("long"), "y": F.col("end_a").cast("long")})
+    return keyed.join(counts, ["name", "x", "y"], "left").select(*blocks.columns, F.coalesce("others", F.lit(0)).alias("others"))  # a block without a file meets none
 
 
 def file_pairs(blocks: DataFrame, files: DataFrame) -> DataFrame:

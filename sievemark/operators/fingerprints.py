@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark import params as P
+from sievemark.sources.stored import stored
 
 WORD = r"[\p{L}\p{N}]+"
+#: Bytes of a text beyond which it goes in segments, and characters of a segment.
+LONG_BYTES, SEGMENT_CHARS = 4 << 20, 1 << 18
+#: Bytes of a scan for each core below which its rows are dealt over all cores.
+SPLIT_BYTES = 128 << 20
 
 
 def by_steps(value: Column, steps, last) -> Column:
@@ -42,12 +47,17 @@ def tokenised(docs: DataFrame, text: str = "text", with_lines: bool = False) ->
 
 
 def with_grams(docs: DataFrame) -> DataFrame:
-    """Tokenised docs with grams: (i, h) of each k-gram with enough different tokens."""
-    gram = lambda i: F.slice("tokens", i + 1, F.col("k"))
+    """Tokenised docs with grams: (i, h) of each k-gram with enough different tokens; the tokens of a gram are sliced once."""
     least = F.when(F.col("n_tokens") < P.SHORT_TOKENS, 2).otherwise(3)
-    starts = F.when(F.col("n_tokens") >= F.col("k"), F.sequence(F.lit(0), F.col("n_tokens") - F.col("k"))).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(starts, lambda i: F.size(F.array_distinct(gram(i))) >= least)
-    return docs.withColumn("grams", F.transform(kept, lambda i: F.struct(i.alias("i"), F.md5(F.concat_ws(" ", gram(i)).cast("binary")).alias("h"))))
+    return docs.withColumn("grams", grams_of(F.col("tokens"), F.col("k"), least, F.lit(0)))
+
+
+def grams_of(tokens: Column, k: Column, least: Column, first: Column) -> Column:
+    """(i, h) of the k-grams of tokens with at least so many different ones; i counts from first."""
+    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(0), F.size(tokens) - k)).otherwise(F.array().cast("array<int>"))
+    slices = F.transform(starts, lambda i: F.struct((i + first).cast("int").alias("i"), F.slice(tokens, i + 1, k).alias("s")))
+    kept = F.filter(slices, lambda g: F.size(F.array_distinct(g["s"])) >= least)
+    return F.transform(kept, lambda g: F.struct(g["i"].alias("i"), F.md5(F.concat_ws(" ", g["s"]).cast("binary")).alias("h")))
 
 
 def winnowed_hashes(hashes: Column, w: Column) -> Column:
@@ -70,30 +80,118 @@ def with_winnowed_grams(docs: DataFrame) -> DataFrame:
     return out.withColumn("minima", F.when(m == 0, F.slice(back(F.col("right")), 1, 0)).when(m < F.col("w"), least).otherwise(back(windows))).drop("right")
 
 
-def fingerprint_set(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Distinct (key, hash) of the winnowed fingerprints."""
-    grams = with_grams(tokenised(spread(docs.select(key, "text")))).select(key, "w", F.transform("grams", lambda g: g["h"]).alias("hashes"))
+def fingerprint_set(docs: DataFrame, key: str = "doc_id", longest: int = LONG_BYTES) -> DataFrame:
+    """Distinct (key, hash) of the winnowed fingerprints. Texts of more than longest bytes go in segments."""
+    short, long = by_length(docs.select(key, "text"), longest)
+    grams = with_grams(tokenised(spread(short))).select(key, "w", F.transform("grams", lambda g: g["h"]).alias("hashes"))
     # outer: the filter that the optimizer infers below an inner explode would compute the arrays anew for each window
-    return grams.select(key, F.explode_outer(winnowed_hashes(F.col("hashes"), F.col("w"))).alias("hash")).where("hash is not null")
+    out = grams.select(key, F.explode_outer(winnowed_hashes(F.col("hashes"), F.col("w"))).alias("hash")).where("hash is not null")
+    return out if long is None else out.unionByName(segmented(long, key).select(key, "hash").distinct())
 
 
-def all_hashes(docs: DataFrame) -> DataFrame:
+def all_hashes(docs: DataFrame, longest: int = LONG_BYTES) -> DataFrame:
     """Distinct hashes of every k-gram: what boilerplate takes away."""
-    return with_grams(tokenised(docs.select("text"))).select(F.explode_outer("grams").alias("g")).select(F.col("g.h").alias("hash")).where("hash is not null").distinct()
+    short, long = by_length(docs.select("text"), longest)
+    out = with_grams(tokenised(spread(short))).select(F.explode_outer("grams").alias("g")).select(F.col("g.h").alias("hash")).where("hash is not null")
+    if long is not None:
+        of = segment_grams(long.withColumn("_key", F.lit(0)), "_key")
+        out = out.unionByName(of.select(F.explode("grams").alias("g")).select(F.col("g.h").alias("hash")))
+    return out.distinct()
+
+
+def by_length(docs: DataFrame, longest: int) -> tuple[DataFrame, DataFrame | None]:
+    """docs without texts of more than longest bytes, and those that have one; None where there are none (found by one look at the lengths)."""
+    long = F.octet_length("text") > longest
+    found = docs.where(long)
+    if found.isEmpty():
+        return docs, None
+    return docs.where(~F.coalesce(long, F.lit(False))), found
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs over as many partitions as there are cores, where the scan has fewer: tokens cost more than the move of a text.
+    """docs over as many partitions as there are cores, where its files would be fewer: tokens cost more than the move of a text.
 
-    Only for small inputs; a scan of many splits stays as it is.
+    Only for small inputs, told by the size that the planner expects; a large scan stays as it is.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if expected < cores * SPLIT_BYTES else docs
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Winnowed fingerprints with places: key, hash, pos, start, end (lines)."""
-    rows = with_winnowed_grams(with_grams(tokenised(spread(docs.select(key, "text")), with_lines=True)).select(key, "lines", "k", "w", "grams"))
+def fingerprints(docs: DataFrame, key: str = "doc_id", longest: int = LONG_BYTES) -> DataFrame:
+    """Winnowed fingerprints with places: key, hash, pos, start, end (lines). Texts of more than longest bytes go in segments."""
+    short, long = by_length(docs.select(key, "text"), longest)
+    rows = with_winnowed_grams(with_grams(tokenised(spread(short), with_lines=True)).select(key, "lines", "k", "w", "grams"))
     rows = rows.select(key, "lines", "k", F.explode_outer("minima").alias("g")).where("g is not null")
     at = lambda i: F.element_at("lines", i)
-    return rows.select(key, F.col("g.h").alias("hash"), F.col("g.i").alias("pos"), at(F.col("g.i") + 1).alias("start"), at(F.col("g.i") + F.col("k")).alias("end"))
+    out = rows.select(key, F.col("g.h").alias("hash"), F.col("g.i").alias("pos"), at(F.col("g.i") + 1).alias("start"), at(F.col("g.i") + F.col("k")).alias("end"))
+    return out if long is None else out.unionByName(segmented(long, key))
+
+
+# --- texts of any length
+
+
+def _segments(docs: DataFrame, key: str, chars: int) -> DataFrame:
+    """row, key, seg, tokens (struct of t and line) of each stretch of a text; cut where no word is cut. Written, so that rows keep their number."""
+    # some characters up to white space, else up to a border of a word, else a whole word that is longer
+    cut = rf"[\s\S]{{1,{chars}}}(?:(?=\s)|\z)|[\s\S]{{1,{chars}}}(?:(?<=[^\p{{L}}\p{{N}}])|(?=[^\p{{L}}\p{{N}}]))|[\p{{L}}\p{{N}}]+"
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    pieces = numbered.select("row", F.col(key), F.posexplode(F.regexp_extract_all("text", F.lit(cut), F.lit(0))).alias("seg", "piece"))
+    pieces = stored(pieces, "segments")
+    lower = F.split(F.lower("piece"), "\n", -1)
+    tokens = F.flatten(F.transform(lower, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), lambda t: F.struct(t.alias("t"), i.cast("int").alias("line")))))
+    return pieces.select("row", key, "seg", tokens.alias("tokens"), (F.size(lower) - 1).alias("breaks"))
+
+
+def _following(rows: DataFrame, head: str, most: int, ahead: int) -> Column:
+    """The first ahead elements of what follows a row in its text: of the heads of the next rows, which have an element at least each."""
+    order = Window.partitionBy("row").orderBy("seg")
+    heads = [F.coalesce(F.lead(head, i).over(order), F.slice(head, 1, 0)) for i in range(1, most + 1)]
+    return F.slice(F.concat(*heads), 1, ahead)
+
+
+def segment_grams(docs: DataFrame, key: str, chars: int = SEGMENT_CHARS) -> DataFrame:
+    """row, key, seg, k, w, grams (i, h, start, end) of each segment, those included that end in a later one.
+
+    k, w and the least number of different tokens are those of the whole text. Between segments go their sizes and first tokens only.
+    """
+    longest = P.K_LAST - 1
+    segments = _segments(docs, key, chars)
+    whole = Window.partitionBy("row")
+    before = whole.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = segments.select("row", "seg", F.size("tokens").alias("n"), "breaks", F.slice("tokens", 1, longest).alias("head"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sizes = sizes.select("row", "seg", "n", F.sum("n").over(whole).alias("n_tokens"), zero(F.sum("n").over(before)).alias("first"), (zero(F.sum("breaks").over(before)) + 1).cast("int").alias("line"), "head")
+    sizes = sizes.withColumn("head", F.transform("head", lambda t: F.struct(t["t"].alias("t"), (t["line"] + F.col("line")).alias("line")))).where("n > 0")
+    sizes = sizes.withColumn("after", _following(sizes, "head", longest, longest)).drop("head", "n")
+    sizes = sizes.withColumn("k", adaptive_k(F.col("n_tokens"))).withColumn("w", adaptive_window(F.col("n_tokens")))
+    joined = segments.drop("breaks").join(sizes, ["row", "seg"])
+    own = F.transform("tokens", lambda t: F.struct(t["t"].alias("t"), (t["line"] + F.col("line")).alias("line")))
+    rows = joined.withColumn("tokens", F.concat(own, F.slice("after", 1, F.col("k") - 1)))
+    rows = rows.withColumns({"t": F.col("tokens.t"), "lines": F.col("tokens.line")})
+    grams = grams_of(F.col("t"), F.col("k"), F.when(F.col("n_tokens") < P.SHORT_TOKENS, 2).otherwise(3), F.lit(0))
+    line = lambda i: F.element_at("lines", i.cast("int"))
+    placed = F.transform("grams", lambda g: F.struct((g["i"] + F.col("first")).cast("int").alias("i"), g["h"].alias("h"), line(g["i"] + 1).alias("start"), line(g["i"] + F.col("k")).alias("end")))
+    return rows.withColumn("grams", grams).select("row", key, "seg", "k", "w", placed.alias("grams"))
+
+
+def segmented(docs: DataFrame, key: str = "doc_id", chars: int = SEGMENT_CHARS) -> DataFrame:
+    """fingerprints() of texts of any length, cut into segments of about so many characters; no row holds a whole text's tokens.
+
+    Windows go over k-grams that were kept, so a segment's windows need the first w - 1 kept ones of what follows: the next segments that
+    kept any have them. A minimum that windows of two segments choose comes once. Repeated rows of docs give repeated rows.
+    """
+    ahead = P.WINDOW_LAST - 1
+    grams = stored(segment_grams(docs, key, chars).where(F.size("grams") > 0), "segment-grams")
+    slim = grams.select("row", "seg", F.size("grams").alias("m"), F.slice("grams", 1, ahead).alias("head"))
+    slim = slim.withColumns({"after": _following(slim, "head", ahead, ahead), "m": F.sum("m").over(Window.partitionBy("row"))}).drop("head")
+    rows = grams.join(slim, ["row", "seg"])
+    back = lambda a: F.transform(a, lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i"), g["start"].alias("start"), g["end"].alias("end")))
+    every = F.concat("grams", F.slice("after", 1, F.col("w") - 1))
+    rows = rows.withColumn("right", back(every)).withColumn("left", F.transform("grams", lambda g: F.struct(g["h"].alias("h"), g["i"].alias("i"), g["start"].alias("start"), g["end"].alias("end"))))
+    last = F.size("right") - F.col("w") + 1
+    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_min(F.slice("right", i, F.col("w"))))).otherwise(F.slice("right", 1, 0))
+    chosen = rows.select("row", key, "m", "w", F.explode(F.array_distinct(windows)).alias("g")).where("m >= w").select("row", key, F.col("g.h").alias("hash"), (-F.col("g.i")).alias("pos"), F.col("g.start").alias("start"), F.col("g.end").alias("end")).distinct()
+    few = rows.where("m < w").select("row", key, F.explode("left").alias("g")).groupBy("row", key).agg(F.min("g").alias("g"))
+    few = few.select("row", key, F.col("g.h").alias("hash"), F.col("g.i").alias("pos"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
+    return chosen.unionByName(few).drop("row")

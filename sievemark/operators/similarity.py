@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.sources.stored import stored
+
 WEIGHT = "decimal(18,12)"
 
 
@@ -18,8 +20,8 @@ def document_frequency(prints: DataFrame) -> DataFrame:
 
 
 def weighted(prints: DataFrame) -> DataFrame:
-    """prints with df and weight: one shuffle on hash, which the joins on hash use again."""
-    return prints.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).withColumn("weight", idf(F.col("df")))
+    """prints with df and weight; frequencies are combined before their shuffle, so a common hash is no large group."""
+    return prints.join(document_frequency(prints), "hash").withColumn("weight", idf(F.col("df")))
 
 
 def without_boilerplate(prints: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -49,11 +51,17 @@ def candidate_pairs(prints: DataFrame, key: str = "doc_id", is_ref: str | None =
 
 def weighted_jaccard(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per candidate pair: n_shared and similarity, the weight in common over the weight of both."""
+    prints = stored(prints, "prints")  # three branches read them
     own = weighted(prints)
     totals = own.groupBy(key).agg(F.sum("weight").alias("total"))
     a, b = _sides(own.where("df > 1"), key, "weight")
     met = a.join(b, (a["hash"] == b["hash"]) & (a[f"{key}_a"] < b[f"{key}_b"]))
     pairs = met.groupBy(f"{key}_a", f"{key}_b").agg(F.count("*").alias("n_shared"), F.sum("weight_a").alias("shared"))
+    return scored(pairs, totals, key)
+
+
+def scored(pairs: DataFrame, totals: DataFrame, key: str = "doc_id") -> DataFrame:
+    """pairs (n_shared, shared) with the similarity, from each document's total weight."""
     for s in ("a", "b"):
         pairs = pairs.join(totals.select(F.col(key).alias(f"{key}_{s}"), F.col("total").alias(f"total_{s}")), f"{key}_{s}")
     union = F.col("total_a") + F.col("total_b") - F.col("shared")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark.functions import scalars
 from sievemark.operators import blocks as B
 from sievemark.operators import explore as X
+from sievemark.operators import similarity as S
 
 #: The moment that stands for now.
 NOW = "1998-06-01 12:00:00"
@@ -49,13 +50,14 @@ def _latest(runs: DataFrame, by: str, at: str) -> DataFrame:
     return runs.groupBy(by).agg(F.max_by(F.struct(*others), F.struct(at, "run_id")).alias("r")).select(by, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def _flagged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("pairs_flagged"), F.max("severity_score").alias("top"))
+def _flagged_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("run_id").agg(F.count("*").alias("pairs_flagged"), F.max("severity_score").alias("top"))
 
 
 def _recent(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     runs = _runs(spark, sf_dir).orderBy(F.desc("started_at"), "run_id").limit(n)  # a top-n report
-    return F.broadcast(runs).join(_flagged_of(spark, sf_dir), "run_id", "left").withColumns({"pairs_flagged": F.coalesce("pairs_flagged", F.lit(0)), "top_severity": F.round(F.coalesce("top", F.lit(0.0)), 2)})
+    pairs = _pairs(spark, sf_dir).join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    return F.broadcast(runs).join(_flagged_of(pairs), "run_id", "left").withColumns({"pairs_flagged": F.coalesce("pairs_flagged", F.lit(0)), "top_severity": F.round(F.coalesce("top", F.lit(0.0)), 2)})
 
 
 def recent_five_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +74,8 @@ def latest_completed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dashboard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = X.anonymised(X.numbered(_pairs(spark, sf_dir), "run_id", "line"), "run_id")
-    return pairs.join(latest_completed_runs(spark, sf_dir), "run_id")
+    pairs = _pairs(spark, sf_dir).join(latest_completed_runs(spark, sf_dir), "run_id")  # numbers and labels are those of a run
+    return X.anonymised(X.numbered(pairs, "run_id", "line"), "run_id")
 
 
 def dashboard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def course_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per course: pairs by level, the similarities of HIGH and MEDIUM pairs from the top, and whether the course is clean."""
-    pairs = _pairs(spark, sf_dir).where("severity_score >= 0.2").join(latest_completed_runs(spark, sf_dir).where("course_id < 20"), "run_id").withColumn("level", B.level(F.col("severity_score")))
+    pairs = _pairs(spark, sf_dir).join(latest_completed_runs(spark, sf_dir), "run_id").withColumn("level", B.level(F.col("severity_score")))
     # whole hundredths: one entry for each distinct value, so a course's list is bounded
     tops = lambda x: F.sort_array(F.collect_set(F.when(F.col("level") == x, F.round(F.col("similarity") * 100).cast("int"))), asc=False)
     of = pairs.groupBy("course_id").agg(*[F.count_if(F.col("level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")], F.count("*").alias("total"), *[F.array_join(tops(x).cast("array<string>"), ",").alias(f"{x.lower()}_tops") for x in ("HIGH", "MEDIUM")])
@@ -100,7 +102,7 @@ def course_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def course_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assignment with its submissions, none included, and the course's total."""
     assignments = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("assignment_id"), (F.col("p_partkey") % 25).alias("course_id"))
-    counts = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").groupBy(F.col("l_partkey").alias("assignment_id")).agg(F.count("*").alias("n"))
+    counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("assignment_id")).agg(F.count("*").alias("n"))
     rows = assignments.join(counts, "assignment_id", "left").withColumn("submissions", F.coalesce("n", F.lit(0)))
     totals = rows.groupBy("course_id").agg(F.sum("submissions").alias("course_total"))
     return rows.join(totals, "course_id").select("course_id", "assignment_id", "submissions", "course_total")
@@ -123,8 +125,9 @@ def stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def severity_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
-    tabs = [X.severity_tab(pairs, t).groupBy().agg(F.count("*").alias("n_pairs")).withColumn("tab", F.lit(t)) for t in ("ALL", "HIGH", "MEDIUM", "LOW")]
-    return tabs[0].unionByName(tabs[1]).unionByName(tabs[2]).unionByName(tabs[3]).select("tab", "n_pairs")
+    tabs = ("ALL", "HIGH", "MEDIUM", "LOW")
+    counts = pairs.agg(*[F.count_if((B.level(F.col("severity_score")) == t) if t != "ALL" else F.lit(True)).alias(t) for t in tabs])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col(t).alias("n_pairs")) for t in tabs])).alias("x")).select("x.tab", "x.n_pairs")
 
 
 def severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +262,8 @@ def source_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = _table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("d"), (F.col("l_linenumber") % 2).cast("string"), F.lit("/F"), (F.col("l_linenumber") % 3).cast("string")).alias("file"), F.col("l_partkey").cast("string").alias("hash"))
-    return B.file_similarity(prints)
+    prints = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("d"), (F.col("l_linenumber") % 2).cast("string"), F.lit("/F"), (F.col("l_linenumber") % 3).cast("string")).alias("file"), F.col("l_partkey").cast("string").alias("hash"))
+    return B.file_similarity(prints, S.candidate_pairs(prints.select("doc_id", "hash").distinct()))
 
 
 def hash_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,10 +298,10 @@ _PAIRS = f"""pr AS (SELECT l_orderkey AS run_id, {_LINE} AS line, CASE WHEN l_li
   l_discount * 10 AS similarity, round(l_tax * 12, 4) AS severity_score, CAST(l_quantity AS BIGINT) AS total_blocks, CAST(l_quantity AS BIGINT) % 5 AS high_blocks, round(l_discount * 7, 3) AS avg_density FROM lineitem)"""
 _FLAGGED = _PAIRS + ", fl AS (SELECT run_id, count(*) AS n, max(severity_score) AS top FROM pr GROUP BY 1)"
 _LATEST = "lc AS (SELECT assignment_id, course_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY assignment_id ORDER BY completed_at DESC, run_id DESC) AS rn FROM ru WHERE status = 'completed') WHERE rn = 1)"
-_NAMED = """ix AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY severity_score DESC, line) - 1 AS idx FROM pr),
-se AS (SELECT run_id, student, min(spot) AS spot FROM (SELECT run_id, student_1 AS student, idx * 2 AS spot FROM ix UNION ALL SELECT run_id, student_2, idx * 2 + 1 FROM ix) GROUP BY ALL),
+_NAMED = """ix AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY severity_score DESC, line) - 1 AS idx FROM pr),
+se AS MATERIALIZED (SELECT run_id, student, min(spot) AS spot FROM (SELECT run_id, student_1 AS student, idx * 2 AS spot FROM ix UNION ALL SELECT run_id, student_2, idx * 2 + 1 FROM ix) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, starts_with(student, '_ref_') ORDER BY spot) - 1 AS rk FROM se),
-la AS (SELECT run_id, student, CASE WHEN starts_with(student, '_ref_') THEN 'Ref ' ELSE 'Student ' END || CASE WHEN rk < 26 THEN chr(CAST(65 + rk AS INT)) WHEN starts_with(student, '_ref_') THEN chr(CAST(65 + rk % 26 AS INT)) ELSE chr(CAST(65 + (rk - 26) // 26 AS INT)) || chr(CAST(65 + rk % 26 AS INT)) END AS label FROM rk),
+la AS MATERIALIZED (SELECT run_id, student, CASE WHEN starts_with(student, '_ref_') THEN 'Ref ' ELSE 'Student ' END || CASE WHEN rk < 26 THEN chr(CAST(65 + rk AS INT)) WHEN starts_with(student, '_ref_') THEN chr(CAST(65 + rk % 26 AS INT)) ELSE chr(CAST(65 + (rk - 26) // 26 AS INT)) || chr(CAST(65 + rk % 26 AS INT)) END AS label FROM rk),
 an AS (SELECT ix.*, 'pair_' || idx AS pair_id, a.label AS label_1, b.label AS label_2 FROM ix JOIN la a ON a.run_id = ix.run_id AND a.student = student_1 JOIN la b ON b.run_id = ix.run_id AND b.student = student_2)"""
 _SPANS = f"""sp AS (SELECT l_orderkey AS pair, {_LINE} AS block_id, 'src/F' || (l_suppkey % 40) AS file_a, 'f' || (l_partkey % 40) AS file_b, l_linenumber * 3 AS start_a, l_linenumber * 3 + CAST(l_quantity AS INT) % 7 AS end_a,
   CASE WHEN l_discount >= 0.08 THEN 4 WHEN l_discount >= 0.05 THEN 3 WHEN l_discount >= 0.02 THEN 2 ELSE 1 END AS rank FROM lineitem)"""
@@ -311,15 +314,15 @@ SQL = {
 SELECT t.run_id, t.assignment_id, status, coalesce(n, 0) AS pairs_flagged, round(coalesce(top, 0), 2) AS top_severity, k AS submission_count FROM t LEFT JOIN fl USING (run_id) JOIN c USING (assignment_id)""",
     "recent_analyses": f"WITH {_RUNS}, {_FLAGGED}, t AS (SELECT * FROM ru ORDER BY started_at DESC, run_id LIMIT 20) SELECT t.run_id, status, coalesce(n, 0) AS pairs_flagged, round(coalesce(top, 0), 2) AS top_severity FROM t LEFT JOIN fl USING (run_id)",
     "latest_completed_runs": f"WITH {_RUNS}, {_LATEST} SELECT assignment_id, course_id, run_id FROM lc",
-    "dashboard_pairs": f"WITH {_RUNS}, {_LATEST}, {_PAIRS}, {_NAMED} SELECT assignment_id, pair_id, label_1 AS student_1, label_2 AS student_2, similarity, severity_score FROM an JOIN lc USING (run_id)",
+    "dashboard_pairs": f"WITH {_RUNS}, {_LATEST}, {_PAIRS.replace('FROM lineitem)', 'FROM lineitem SEMI JOIN lc ON lc.run_id = l_orderkey)')}, {_NAMED} SELECT assignment_id, pair_id, label_1 AS student_1, label_2 AS student_2, similarity, severity_score FROM an JOIN lc USING (run_id)",
     "dashboard_counts": f"""WITH {_RUNS}, {_LATEST}, {_PAIRS} SELECT count(*) AS flagged, count(DISTINCT course_id) AS courses, count(DISTINCT assignment_id) AS assignments, count(*) FILTER ({_LEVEL} = 'HIGH') AS high,
   count(*) FILTER ({_LEVEL} = 'MEDIUM') AS medium, count(*) FILTER ({_LEVEL} = 'LOW') AS low FROM pr JOIN lc USING (run_id)""",
-    "course_insights": f"""WITH {_RUNS}, {_LATEST}, {_PAIRS}, x AS (SELECT course_id, {_LEVEL} AS lv, CAST(round(similarity * 100) AS INT) AS s FROM pr JOIN lc USING (run_id) WHERE severity_score >= 0.2 AND course_id < 20),
+    "course_insights": f"""WITH {_RUNS}, {_LATEST}, {_PAIRS}, x AS (SELECT course_id, {_LEVEL} AS lv, CAST(round(similarity * 100) AS INT) AS s FROM pr JOIN lc USING (run_id)),
 g AS (SELECT course_id, count(*) FILTER (lv = 'HIGH') AS high, count(*) FILTER (lv = 'MEDIUM') AS medium, count(*) FILTER (lv = 'LOW') AS low, count(*) AS total,
   array_to_string(list_reverse_sort(list(DISTINCT s) FILTER (lv = 'HIGH')), ',') AS high_tops, array_to_string(list_reverse_sort(list(DISTINCT s) FILTER (lv = 'MEDIUM')), ',') AS medium_tops FROM x GROUP BY 1)
 SELECT CAST(n_nationkey AS BIGINT) AS course_id, n_name, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(total, 0) AS total, coalesce(high_tops, '') AS high_tops, coalesce(medium_tops, '') AS medium_tops,
   total IS NULL AS clean FROM nation LEFT JOIN g ON course_id = n_nationkey""",
-    "course_details": """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+    "course_details": """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT p_partkey % 25 AS course_id, p_partkey AS assignment_id, coalesce(n, 0) AS submissions, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY p_partkey % 25) AS BIGINT) AS course_total FROM part LEFT JOIN c ON l_partkey = p_partkey""",
     "role_dashboard": "SELECT n_regionkey, c_mktsegment AS role, count(*) AS users, count(*) FILTER (c_acctbal >= 0) AS active_users FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "largest_runs": f"WITH {_PAIRS} SELECT run_id, CAST(sum(total_blocks) AS BIGINT) AS size FROM pr GROUP BY 1 ORDER BY size DESC, run_id LIMIT 10",
@@ -364,11 +367,13 @@ SELECT p_partkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 1048576 THEN CAST(r
     "source_extensions": """WITH x AS (SELECT p_partkey, ['Main.java', 'a.CPP', 'x.h', 'readme', 'run.py', 'lib/b.hh', 'c.exe'][p_partkey % 7 + 1] AS name, ['java', 'cpp', 'c', 'python', 'rust'][p_size % 5 + 1] AS language FROM part),
 y AS (SELECT *, lower(regexp_extract(name, '[.][^.]*$')) AS e FROM x)
 SELECT p_partkey, name, language, e = '' OR CASE language WHEN 'java' THEN e = '.java' WHEN 'cpp' THEN e IN ('.cpp', '.cc', '.cxx', '.h', '.hpp', '.hh', '.hxx') WHEN 'c' THEN e IN ('.c', '.h') WHEN 'python' THEN e = '.py' ELSE false END AS allowed FROM y""",
-    "file_similarity": """WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, 'd' || (l_linenumber % 2) || '/F' || (l_linenumber % 3) AS file, 'f' || (l_linenumber % 3) AS name, l_partkey AS hash FROM lineitem WHERE l_orderkey % 4 = 0),
-z AS (SELECT doc_id, file, count(*) AS n FROM p GROUP BY ALL),
+    "file_similarity": """WITH p AS MATERIALIZED (SELECT DISTINCT l_orderkey AS doc_id, 'd' || (l_linenumber % 2) || '/F' || (l_linenumber % 3) AS file, 'f' || (l_linenumber % 3) AS name, l_partkey AS hash FROM lineitem),
+z AS (SELECT doc_id, file, name, count(*) AS n FROM p GROUP BY ALL),
+f AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY file) = 1),
+c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM p a JOIN p b ON a.hash = b.hash AND a.doc_id < b.doc_id),
 s AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, a.file AS file_a, b.file AS file_b, count(*) AS shared FROM p a JOIN p b ON a.hash = b.hash AND a.name = b.name AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_id_a, doc_id_b, file_a, file_b, round(shared / (x.n + y.n - shared), 3) AS similarity FROM s JOIN z x ON x.doc_id = doc_id_a AND x.file = file_a JOIN z y ON y.doc_id = doc_id_b AND y.file = file_b
-QUALIFY row_number() OVER (PARTITION BY doc_id_a, doc_id_b, file_a ORDER BY file_b) = 1""",
+SELECT c.doc_id_a, c.doc_id_b, x.file AS file_a, y.file AS file_b, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 3) AS similarity FROM c JOIN z x ON x.doc_id = c.doc_id_a JOIN f y ON y.doc_id = c.doc_id_b AND x.name = y.name
+LEFT JOIN s ON s.doc_id_a = c.doc_id_a AND s.doc_id_b = c.doc_id_b AND s.file_a = x.file AND s.file_b = y.file""",
     "hash_set_operations": """WITH g AS (SELECT l_orderkey, list_distinct(coalesce(list(l_partkey) FILTER (l_linenumber <= 4), [])) AS x, list_distinct(coalesce(list(l_partkey) FILTER (l_linenumber >= 3), [])) AS y FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CAST(len(list_intersect(x, y)) AS BIGINT) AS n_both, CAST(len(list_distinct(list_concat(x, y))) AS BIGINT) AS n_any, CAST(len(x) - len(list_intersect(x, y)) AS BIGINT) AS n_only_x FROM g""",
     "unit_lookup": """WITH t AS (SELECT conv_id, CAST(max(turn) AS INT) AS n FROM conversations GROUP BY 1)

@@ -225,9 +225,9 @@ def test_sinks(spark, tmp_path):
     good = engine.run(submitted(spark, {"a": ONE, "b": TWO}))
     assert sinks.persist(spark, str(tmp_path), "r1", "a1", "c1", lambda: good) == "completed"
     assert sinks.persist(spark, str(tmp_path), "r2", "a1", "c1", lambda: 1 / 0) == "failed"
-    runs = {r["run_id"]: r for r in spark.read.parquet(f"{tmp_path}/runs").collect()}
+    runs = {r["run_id"]: r for r in sinks.runs(spark, str(tmp_path)).collect()}
     assert runs["r1"]["error"] is None and "division" in runs["r2"]["error"]
-    assert [r["run_id"] for r in spark.read.parquet(f"{tmp_path}/pairs").collect()] == ["r1"]
+    assert [r["run_id"] for r in sinks.part(spark, str(tmp_path), "pairs").collect()] == ["r1"]
     subs = spark.createDataFrame([("x", 1, "s1"), ("x", 3, "s2"), ("x", 2, "s3")], "assignment string, at int, id string")
     files = spark.createDataFrame([("s1", "A.java", b"1"), ("s2", "B.java", b"2")], "id string, path string, content binary")
     sinks.export(sinks.numbered_folders(subs, files, "assignment", "at", "id"), f"{tmp_path}/out")
