@@ -42,6 +42,12 @@ def extension_allowed(name: Column, language: Column) -> Column:
     return (extension == "") | F.coalesce(F.array_contains(allowed, extension), F.lit(False))
 
 
+def upload_allowed(name: Column, language: Column) -> Column:
+    """Whether a file may be uploaded: for a known language archives only, whatever the case; for others anything."""
+    known = F.lower(language).isin(*P.LANGUAGE_EXTENSIONS)
+    return ~F.coalesce(known, F.lit(False)) | F.coalesce(F.endswith(F.lower(name), F.lit(".zip")), F.lit(False))
+
+
 def season(day: Column) -> Column:
     month = F.month(day)
     return F.when(month <= 4, "Winter").when(month <= 7, "Summer").otherwise("Fall")

@@ -133,6 +133,21 @@ def file_pairs(blocks: DataFrame, files: DataFrame) -> DataFrame:
     return every.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(F.when(F.col("file_a") == F.col("file_b"), 0).otherwise(1), "file_b")))
 
 
+def course_filter(courses: DataFrame, term: str = "all", search: str = "") -> DataFrame:
+    """Courses of one term, or of all, whose code or title holds what is searched, whatever its case."""
+    found = F.lower("code").contains(search.lower()) | F.lower("title").contains(search.lower())
+    return courses.where((F.col("term") == term if term != "all" else F.lit(True)) & (found if search else F.lit(True)))
+
+
+def with_term_order(terms: DataFrame) -> DataFrame:
+    """terms with year and place: newer years come first, within one Spring, Summer, Fall, Winter and others in this order; a term without a year has year 0."""
+    words = F.split("term", " ")
+    season = F.lower(words[0])
+    place = F.when(season == "spring", 1).when(season == "summer", 2).when(season == "fall", 3).when(season == "winter", 4).otherwise(5)
+    year = F.coalesce(F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), "^[0-9]+", 0).try_cast("int"), F.lit(0))
+    return terms.withColumns({"year": year, "place": place})
+
+
 def active_blocks(of_a: Column, of_b: Column) -> Column:
     """The block ids of a tab: those on both sides, or where there are none those on either."""
     both = F.array_intersect(of_a, of_b)

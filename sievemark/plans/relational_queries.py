@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions import scalars
+from sievemark.operators import explore as X
 from sievemark.operators.blocks import level
 
 #: The moment that stands for now.
@@ -85,6 +86,31 @@ def course_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where(F.lower("p_name").contains("re") | F.lower("p_brand").contains("#1")).select("p_partkey", "p_name", "p_brand")
 
 
+def _courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as courses, with terms of which some span two seasons or have no year."""
+    kind, year = F.col("p_size") % 7, (2018 + F.col("p_partkey") % 6).cast("string")
+    term = F.when(kind == 0, "Continuous").when(kind == 1, F.concat(F.lit("Fall/Winter "), year, F.lit("-"), (2019 + F.col("p_partkey") % 6).cast("string")))
+    for n, season in enumerate(("Spring", "Summer", "Fall", "Winter"), 2):
+        term = term.when(kind == n, F.concat(F.lit(f"{season} "), year))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("code"), F.col("p_name").alias("title"), term.otherwise(F.concat(F.lit("winter "), year)).alias("term"))
+
+
+def course_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.course_filter(_courses(spark, sf_dir), "Fall 2020", "RE").select("p_partkey", "code", "title")
+
+
+def term_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_term_order(_courses(spark, sf_dir).select("term").distinct()).orderBy(F.desc("year"), "place", "term")
+
+
+def upload_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as file names, of which some end as archives do."""
+    ending = F.when(F.col("page_id") % 3 == 0, ".ZIP").when(F.col("page_id") % 3 == 1, ".zip").otherwise("")
+    language = F.when(F.col("page_id") % 4 == 0, "Java").when(F.col("page_id") % 4 == 1, "rust").when(F.col("page_id") % 4 == 2, "cpp")
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.concat("url", ending).alias("name"), language.alias("language"))
+    return rows.select("page_id", scalars.upload_allowed(F.col("name"), F.col("language")).alias("allowed"))
+
+
 def course_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("o_orderdate").cast("date")
     return _table(spark, sf_dir, "orders").select("o_orderkey", scalars.term(start, F.date_add(start, 120)).alias("term"))
@@ -142,7 +168,7 @@ def flag_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_submission, submissions_per_assignment, instructor_dashboard, course_health, recent_runs, submission_size, severity_share, tenant_rollup, instructor_groups, course_search,
+        latest_submission, submissions_per_assignment, instructor_dashboard, course_health, recent_runs, submission_size, severity_share, tenant_rollup, instructor_groups, course_search, course_filter, term_order, upload_policy,
         course_term, term_sort, expiry_status, retention_sweep, submission_id, slug_valid, extension_policy, strip_html_comments, conversation_units, flag_quality,
     )
 }
@@ -153,6 +179,9 @@ _RUNS = f"SELECT o_custkey, {_LEVEL.format('o_totalprice / 500000')} AS level FR
 _KEY = "secret".encode().ljust(64, b"\0")
 _INNER, _OUTER = ("".join(f"\\x{b ^ p:02X}" for b in _KEY) for p in (0x36, 0x5C))
 
+_COURSES = """WITH c AS (SELECT p_partkey, p_brand AS code, p_name AS title, CASE p_size % 7 WHEN 0 THEN 'Continuous' WHEN 1 THEN 'Fall/Winter ' || (2018 + p_partkey % 6) || '-' || (2019 + p_partkey % 6)
+  WHEN 2 THEN 'Spring ' || (2018 + p_partkey % 6) WHEN 3 THEN 'Summer ' || (2018 + p_partkey % 6) WHEN 4 THEN 'Fall ' || (2018 + p_partkey % 6) WHEN 5 THEN 'Winter ' || (2018 + p_partkey % 6) ELSE 'winter ' || (2018 + p_partkey % 6) END AS term FROM part)"""
+
 SQL = {
     "latest_submission": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "submissions_per_assignment": "SELECT l_partkey AS assignment_id, count(*) AS n_submissions, count(DISTINCT l_orderkey) AS n_students FROM lineitem GROUP BY 1",
@@ -167,6 +196,10 @@ SELECT n_name, coalesce(high, 0) AS high, coalesce(total, 0) AS total, coalesce(
 SELECT r_name, count(*) AS universities, CAST(coalesce(sum(admins), 0) AS BIGINT) AS admins FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN c ON s_nationkey = n_nationkey GROUP BY 1""",
     "instructor_groups": "SELECT l_suppkey, count(DISTINCT l_partkey) AS assignments, count(*) AS submissions FROM lineitem GROUP BY 1",
     "course_search": "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), '#1')",
+    "course_filter": f"{_COURSES} SELECT p_partkey, code, title FROM c WHERE term = 'Fall 2020' AND (contains(lower(code), 're') OR contains(lower(title), 're'))",
+    "term_order": f"""{_COURSES}, t AS (SELECT DISTINCT term, lower(string_split(term, ' ')[1]) AS s, coalesce(TRY_CAST(regexp_extract(coalesce(string_split(term, ' ')[2], ''), '^[0-9]+') AS INT), 0) AS year FROM c)
+SELECT term, year, CASE s WHEN 'spring' THEN 1 WHEN 'summer' THEN 2 WHEN 'fall' THEN 3 WHEN 'winter' THEN 4 ELSE 5 END AS place FROM t ORDER BY year DESC, place, term""",
+    "upload_policy": "SELECT page_id, page_id % 4 NOT IN (0, 2) OR page_id % 3 < 2 OR lower(url) LIKE '%.zip' AS allowed FROM pages",
     "course_term": f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 120 AS e FROM orders),
 t AS (SELECT o_orderkey, {_SEASON.format('s')} AS a, {_SEASON.format('e')} AS b, CAST(year(s) AS VARCHAR) AS y, CAST(year(e) AS VARCHAR) AS z FROM d)
 SELECT o_orderkey, CASE WHEN a = b AND y = z THEN a || ' ' || y WHEN y = z THEN a || '/' || b || ' ' || y ELSE a || '/' || b || ' ' || y || '-' || z END AS term FROM t""",

@@ -20,11 +20,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adaptive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FP.tokenised(_docs(spark, sf_dir)).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "k", "w")
+    return FP.tokenised(FP.spread(_docs(spark, sf_dir).select("doc_id", "text"))).select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "k", "w")
 
 
 def kgram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = FP.with_grams(FP.tokenised(_docs(spark, sf_dir)))
+    rows = FP.with_grams(FP.tokenised(FP.spread(_docs(spark, sf_dir).select("doc_id", "text"))))
     return rows.select("doc_id", F.size("grams").cast("long").alias("n_grams"))
 
 

@@ -248,14 +248,41 @@ def test_stream(spark, tmp_path):
 
 
 def test_code_queries(spark):
+    """What is read back from the archives on disk is what the conversations' texts give."""
+    import hashlib
+
     from sievemark.plans import code_queries as Q
 
-    got = {n: f(spark, "/root/testdata/sf0.001").collect() for n, f in Q.QUERIES.items()}
-    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
-    assert len(got["zip_ingest"]) == len(parts) and {r["submission_id"] for r in got["zip_ingest"] if r["damaged"]} == {f"p{p['p_partkey']}" for p in parts if p["p_partkey"] % 97 == 0}
-    # equal sizes give equal tokens, whatever the names
-    size = {f"p{p['p_partkey']}": p["p_size"] & 63 for p in parts}
-    by_size = {}
-    for r in got["code_tokens"]:
-        assert by_size.setdefault(size[r["submission_id"]], r["tokens_md5"]) == r["tokens_md5"] and r["n_spans"] == 8
-    assert all(r["unit_type"] in ("LOOP", "METHOD", None) and r["start"] <= r["end"] for r in got["code_fingerprints"])
+    sf = "/root/testdata/sf0.001"
+    got = {n: f(spark, sf).collect() for n, f in Q.QUERIES.items()}
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        turns.setdefault(r["conv_id"], []).append(r["text"])
+    want, damaged = {}, set()
+    for key, texts in turns.items():
+        if key % 97 == 0:
+            damaged.add(f"c{key}")
+            continue
+        java = key % 3 != 2
+        parts = "\n".join(Q.function(f"f{i}", t or "", java) for i, t in enumerate(texts))
+        source = f"public class C{key} {{\n{parts}\n}}\n" if java else f"#include <string>\n{parts}\n"
+        tokens, spans = T.parse(source, java)
+        path = ("project/" if key % 5 == 0 else "") + ("src/Main.java" if java else "main.cpp")
+        want[f"c{key}", path] = (len(tokens), len(spans), hashlib.md5(" ".join(t for t, _ in tokens).encode()).hexdigest())
+        assert sum(s[0] == "METHOD" for s in spans) == len(texts)
+    assert {(r["submission_id"], r["path"]): (r["n_tokens"], r["n_spans"], r["tokens_md5"]) for r in got["code_tokens"]} == want
+    assert {r["submission_id"] for r in got["zip_ingest"] if r["damaged"]} == damaged and {r["submission_id"] for r in got["zip_ingest"]} == {f"c{k}" for k in turns}
+    assert {p for _, p in want} == {"src/Main.java", "main.cpp", "project/src/Main.java", "project/main.cpp"} and len({v[2] for v in want.values()}) > len(want) / 2
+    assert {r["submission_id"] for r in got["code_fingerprints"]} <= {s for s, _ in want} and all(r["start"] <= r["end"] for r in got["code_fingerprints"])
+
+
+def test_intermediates_are_removed(spark):
+    import os
+
+    from sievemark.sources import stored as X
+
+    X.release(spark)
+    kept = X.stored(spark.range(3), "some")
+    place = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and os.path.isdir(place)
+    assert X.release(spark) == 1 and not os.path.exists(place) and X.release(spark) == 0
