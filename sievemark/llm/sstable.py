@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -189,8 +190,25 @@ CHUNK_BYTES = 8_000_000
 MAX_TOKENIZER_BYTES, CACHE_ENTRIES, CACHE_LENGTH = 64 << 20, 800_000, 64
 
 
+def stable_letters() -> str:
+    """A class of the letters behind which a word may be cut before the tokenizer composes and lower-cases a text.
+
+    Letters of the first plane in Unicode 3.2 and today, so that older and newer tables agree on them, whose composed and lower-cased form ends
+    in a letter: some letters come apart (U+0959, U+0130), and their mark then belongs to the signs that follow.
+    """
+
+    def stays(c: str) -> bool:
+        letter = all(db.category(c)[0] == "L" for db in (unicodedata, unicodedata.ucd_3_2_0))
+        return letter and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] == "L"
+
+    points = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and stays(chr(c))]
+    starts = [c for c, before in zip(points, [0, *points]) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], 0]) if after != c + 1]
+    return "[A-Za-z" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 #: A letter before an ASCII mark or digit: a word of the tokenizer ends there. Not before an apostrophe, which may begin one.
-WORD_END = r"(\p{L})([!-&(-@\[-`{-~])"
+WORD_END = f"({stable_letters()})" + r"([!-&(-@\[-`{-~])"
 
 
 #: Fixed value: the split pattern of the tokenizers whose words are encoded one by one. Texts of others are encoded whole.
