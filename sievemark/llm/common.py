@@ -107,6 +107,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(keys, same, "left_anti")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column's texts, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -13,13 +13,13 @@ E-mail addresses and secrets, which have no such domain, get keyed digests in th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import documents
+from sievemark.llm.common import documents, unused
 
 ROUNDS = 8
-#: A key for tests; production gives its own.
+#: A key for tests; production names its own in spark.sievemark.pii.key.
 DEFAULT_KEY = "not a secret"
 
 EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
@@ -155,27 +155,45 @@ def _secret(key: str) -> str:
     return f"substr(repeat(sha2(concat_ws('|', {_text(key)}, 'secret', m), 256), cast(length(m) div 64 + 1 as int)), 1, length(m))"
 
 
+def _replaced(docs: DataFrame, key: str) -> tuple[DataFrame, Column, str]:
+    """docs with a column of its own that holds what was found and put in its place; the new text, and that column's name. Found values come as (k, t)."""
+    name = unused(docs, "_private")
+    work, text = F.col(name), F.col("`text`")
+    pattern = _text(ANY)
+    cases = " ".join(f"when m rlike {_text('^(?:' + p + ')$')} and {test} then named_struct('k', '{kind}', 't', {body})" for kind, p, test, body in _rules(key))
+    cases = f"when get({name}.secrets, i) <> '' then named_struct('k', 'secret', 't', {_secret(key)}) {cases}"
+    replaced = f"transform({name}.all, (m, i) -> coalesce(case {cases} end, named_struct('k', cast(null as string), 't', m)))"
+    extract = lambda where, group: f"case when `text` rlike '{where}' then regexp_extract_all(`text`, {pattern}, {group}) else cast(array() as array<string>) end"
+    found = f"named_struct('all', {extract('[0-9@]|[Pp]assword=|[Tt]oken ?=', 0)}, 'secrets', {extract('[Pp]assword=|[Tt]oken ?=', 1)})"
+    step = docs.withColumn(name, F.expr(found))
+    step = step.withColumn(name, F.expr(f"case when size({name}.all) > 0 then {replaced} else cast(array() as array<struct<k:string,t:string>>) end"))
+    joined = _let("p", f"split(`text`, {pattern}, -1)", f"aggregate(sequence(1, size({name})), p[0], (acc, i) -> concat(acc, {name}[i - 1].t, p[i]))")
+    return step, F.when(F.size(work) > 0, F.expr(joined)).otherwise(text).alias("text"), name
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """The columns of docs with text pseudonymised, and n_replaced and kinds (sorted, distinct) behind them.
 
     A null text stays null, with nothing replaced; texts without personal data stay as they are,
     whatever their length. Candidates that fail their check stay. Rows are neither dropped nor merged. Columns
-    of docs named n_replaced or kinds give way. No shuffle and no Python.
+    of docs named n_replaced or kinds give way here, and no others; in_texts() keeps them all. No shuffle and no Python.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "kinds")]
-    pattern = _text(ANY)
-    cases = " ".join(f"when m rlike {_text('^(?:' + p + ')$')} and {test} then named_struct('k', '{kind}', 't', {body})" for kind, p, test, body in _rules(key))
-    cases = f"when get(found.secrets, i) <> '' then named_struct('k', 'secret', 't', {_secret(key)}) {cases}"
-    replaced = f"transform(found.all, (m, i) -> coalesce(case {cases} end, named_struct('k', cast(null as string), 't', m)))"
-    extract = lambda where, group: f"case when text rlike '{where}' then regexp_extract_all(text, {pattern}, {group}) else cast(array() as array<string>) end"
-    found = f"named_struct('all', {extract('[0-9@]|[Pp]assword=|[Tt]oken ?=', 0)}, 'secrets', {extract('[Pp]assword=|[Tt]oken ?=', 1)})"
-    step = docs.select(*kept, F.expr(found).alias("found"))
-    step = step.select(*kept, F.expr(f"case when size(found.all) > 0 then {replaced} else cast(array() as array<struct<k:string,t:string>>) end").alias("new"))
-    joined = _let("p", f"split(text, {pattern}, -1)", "aggregate(sequence(1, size(new)), p[0], (acc, i) -> concat(acc, new[i - 1].t, p[i]))")
-    text = F.expr(f"case when size(new) > 0 then {joined} else text end").alias("text")
-    kinds = F.expr("filter(transform(new, s -> s.k), k -> k is not null)")
-    return step.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "kinds")], F.coalesce(F.size(kinds), F.lit(0)).alias("n_replaced"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
+    step, text, name = _replaced(docs, key)
+    kinds = F.filter(F.transform(F.col(name), lambda s: s["k"]), lambda k: k.isNotNull())
+    kept = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_replaced", "kinds")]
+    return step.select(*kept, F.coalesce(F.size(kinds), F.lit(0)).alias("n_replaced"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
+
+
+def in_texts(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    """The columns of docs, whatever their names, with text pseudonymised."""
+    step, text, _ = _replaced(docs, key)
+    return step.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names in spark.sievemark.pii.key; without one that of the tests, which hides nothing."""
+    return spark.conf.get("spark.sievemark.pii.key", DEFAULT_KEY)
 
 
-def query(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    return pseudonymise(documents(docs, "doc_id", "text"), key)
+def query(docs: DataFrame, key: str | None = None) -> DataFrame:
+    return pseudonymise(documents(docs, "doc_id", "text"), key_of(docs.sparkSession) if key is None else key)
