@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, clear_worker, documents, materialise, texts_of, without
+from sievemark.llm.common import arrow_schema, batch_of, bounded_chunks, clear_worker, documents, materialise, n_shuffle, texts_of, without
 
 ORDER, SHARDS = 5, 64
+#: Runs that wait until they are added to a shard's counts.
+WAITING = 2_000_000
 START, AGAIN = b"\x02", "\x01"
 #: Bytes of text of a block, and characters of the pieces in which texts are counted.
 BLOCK_BYTES, PIECE_CHARS = 8_000_000, 4_000_000
@@ -125,6 +127,15 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return (np.frombuffer(blob[:n], "u1").astype(np.uint64) << np.uint64(32)) | np.frombuffer(blob[n:], "<u4").astype(np.uint64)
 
 
+def _sized(counts: np.ndarray) -> bytes:
+    """Counts of four bytes each, or of eight where one needs them."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<i8").tobytes()
+
+
+def _unsized(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u4" if len(blob) == 4 * n else "<i8").astype(np.int64)
+
+
 def _pieces(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -240,20 +251,38 @@ def train(trusted: DataFrame) -> Model:
     merged = spark.createDataFrame([], "lang string, r int, keys binary, counts binary, stats array<long>, pairs array<int>, pair_counts array<int>").schema
     merged_schema = arrow_schema(merged)
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _added(
-            np.concatenate([_unpacked(b) for b in table.column("keys").to_pylist()]),
-            np.concatenate([np.frombuffer(b, "<u4").astype(np.int64) for b in table.column("counts").to_pylist()]),
-        )
+    def finished(lang: str, r: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         k4, c4 = lower(keys, 5)
         k3, c3 = lower(k4, 4)
         k2, c2 = lower(k3, 3)
         stats = [int((c == k).sum()) for c in (c3, c4, counts) for k in (1, 2, 3, 4)]
-        one = [[table.column("lang")[0].as_py()], [table.column("r")[0].as_py()], [_packed(keys)], [counts.astype("<u4").tobytes()], [stats], [k2.astype(np.int32)], [c2.astype(np.int32)]]
-        return pa.Table.from_batches([batch_of(merged_schema, one)])
+        return batch_of(merged_schema, [[lang], [r], [_packed(keys)], [_sized(counts)], [stats], [k2.astype(np.int32)], [c2.astype(np.int32)]])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted partial counts, one shard after the other: what is held are its distinct runs and as many that wait, however many parts come."""
+        clear_worker()
+        at, waiting, size = None, [], 0
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def together():
+            return _added(np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]))
+
+        for batch in batches:
+            for lang, r, k, c in zip(*(batch.column(x).to_pylist() for x in ("lang", "r", "keys", "counts")), strict=True):
+                if at is not None and at != (lang, r):
+                    yield finished(*at, *together())
+                    keys, counts, waiting, size = keys[:0], counts[:0], [], 0
+                at = lang, r
+                waiting.append((_unpacked(k), np.frombuffer(c, "<u4").astype(np.int64)))
+                size += len(waiting[-1][0])
+                if size > max(len(keys), WAITING):
+                    (keys, counts), waiting, size = together(), [], 0
+        if at is not None:
+            yield finished(*at, *together())
 
     parts = documents(trusted, "lang", "text").withColumn("lang", F.coalesce("lang", F.lit(""))).mapInArrow(count, fields)
-    shards = materialise(parts.groupBy("lang", "r").applyInArrow(merge, merged), "counts")
+    sorted_parts = parts.repartition(n_shuffle(spark), "lang", "r").sortWithinPartitions("lang", "r")
+    shards = materialise(sorted_parts.mapInArrow(merge, merged), "counts")
     # at most SHARDS * 12 numbers and 65,536 pairs for each language, whatever the input
     stats = shards.select("lang", F.posexplode("stats").alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n")).toLocalIterator()
     numbers: dict[str, dict[int, int]] = {}
@@ -316,7 +345,7 @@ def bits_per_byte(docs: DataFrame, model: Model) -> DataFrame:
         if asked.num_rows:
             lang = asked.column("lang")[0].as_py()
             keys = _unpacked(shard.column("keys")[0].as_py()) if shard.num_rows else np.zeros(0, np.uint64)
-            counts = np.frombuffer(shard.column("counts")[0].as_py(), "<u4").astype(np.int64) if shard.num_rows else np.zeros(0, np.int64)
+            counts = _unsized(shard.column("counts")[0].as_py(), len(keys)) if shard.num_rows else np.zeros(0, np.int64)
             for block, r, blob in zip(*(asked.column(c).to_pylist() for c in ("block", "r", "keys")), strict=True):
                 logs = log_probabilities(keys, counts, _unpacked(blob), *shared.value[lang]).astype("<f4").tobytes()
                 for c, v in zip(rows, (block, lang, r, logs), strict=True):
