@@ -3,10 +3,10 @@
 Everything is per language. A word goes by a 64-bit hash of language and word, which is checked against all words.
 
 1. Words are counted. A phrase is frequent only if its words are, and its pairs of neighbours.
-2. Pairs of neighbouring frequent words are counted by hash; bitmaps of fixed size tell frequent words and pairs. A
-   slot that two share lets a rare one pass, which costs work and never a result: true counts come from step 3.
-3. Projection: every occurrence of a frequent pair gives what stands from there on, up to five words and as far as
-   pairs are frequent. Equal ones are counted before they are shuffled by their prefix, the pair.
+2. Pairs of neighbouring frequent words are counted, which are the phrases of two words and the prefixes of all others. Filters
+   of fixed size tell frequent words and pairs; a rare one that passes costs work and never a result.
+3. Projection: every occurrence of a frequent pair that a frequent pair follows gives what stands from there on, up to
+   five words and as far as pairs are frequent. Equal ones are counted before they are shuffled by their prefix, the pair.
 4. Growth: within the task of a prefix its projected occurrences are sorted, so the occurrences of each longer prefix are
    a run within the run of the shorter one; one pass grows all of them depth-first, to the right, with
    a counter for each depth. So no prefix has to fit in memory. Prefixes with over a thousandth of all occurrences are
@@ -17,6 +17,7 @@ Everything is per language. A word goes by a 64-bit hash of language and word, w
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from sievemark.llm.common import arrow_schema, batch_of, clear_worker, documents
 #: What ends a piece; words are runs of what is no space and no tab.
 PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 LONGEST = 5
-#: Slots of the bitmaps (a bit each, broadcast), and bytes of text that a task splits at once.
+#: Slots of the filters (a bit each, broadcast), and bytes of text that a task splits at once.
 BITS, SLICE = 27, 4_000_000
-#: Entries that a task gathers before it sends them on.
-WORDS_HELD, PAIRS_HELD, WINDOWS_HELD = 400_000, 1_500_000, 300_000
+#: Different words, pairs and windows that a task counts before it sends them on, and how many of them it takes in at once.
+WORDS_HELD, PAIRS_HELD, WINDOWS_HELD, AT_ONCE = 400_000, 1_200_000, 500_000, 250_000
 #: A prefix with more than one in HOT of all words is dealt over as many tasks by what follows.
 HOT = 1024
 #: Buckets in which the first phrases of a language are sought before they meet.
@@ -127,33 +128,40 @@ def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear_worker()
-        held: dict[tuple[str, bytes], list[int]] = {}  # id and count
+        held: dict[str, dict[bytes, int]] = {}  # where a word's id and count stand
+        ids, counts = array("Q"), array("q")
 
         def flush():
-            ids = np.fromiter((v[0] for v in held.values()), np.uint64, len(held)).view(np.int64)
-            words = pa.array((w for _, w in held), pa.binary()).cast(pa.string())
-            return batch_of(out_schema, [[lang for lang, _ in held], words, ids, [v[1] for v in held.values()]])
+            langs = [lang for lang, of in held.items() for _ in of]
+            words = pa.array((w for of in held.values() for w in of), pa.binary()).cast(pa.string())
+            at = np.fromiter((i for of in held.values() for i in of.values()), np.int64, len(ids))
+            return batch_of(out_schema, [langs, words, np.frombuffer(ids, np.int64)[at] if ids else [], np.frombuffer(counts, np.int64)[at] if ids else []])
 
         for lang, known, hashes, index, _ in streams(batches, seed):
-            counts = np.bincount(index[index >= 0], minlength=len(known))
-            for w, h, n in zip(known.to_pylist(), hashes.tolist(), counts.tolist(), strict=True):
-                if (of := held.get((lang, w))) is not None:
-                    of[1] += n
+            of = held.setdefault(lang, {})
+            found = np.bincount(index[index >= 0], minlength=len(known))
+            for w, h, n in zip(known.to_pylist(), hashes.tolist(), found.tolist(), strict=True):
+                if (i := of.get(w)) is not None:
+                    counts[i] += n
                 elif n:
-                    held[lang, w] = [h, n]
-            if len(held) > WORDS_HELD:
+                    of[w] = len(ids)
+                    ids.append(h)
+                    counts.append(n)
+            if len(ids) > WORDS_HELD:
                 yield flush()
-                held = {}
+                held, ids, counts = {}, array("Q"), array("q")
         yield flush()
 
     return _texts(docs).mapInArrow(run, fields).groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
 
 def bitmap(keys: DataFrame, name: str, bits: int = BITS) -> np.ndarray:
-    """Bits of the slots that 64-bit keys fall in; of fixed size, 8 bytes for each 64 slots come to the driver."""
-    slot = F.shiftrightunsigned(F.col(name), 64 - bits)
+    """A Bloom filter of 64-bit keys with two bits for each, from its upper and its lower half; of fixed size, 8 bytes for each 64 slots come to the driver."""
+    key = F.col(name)
+    slots = F.array(F.shiftrightunsigned(key, 64 - bits), key.bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+    slot = F.col("slot")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-    cells = keys.groupBy(F.shiftrightunsigned(slot, 6).alias("cell")).agg(F.bit_or(bit).alias("b"))
+    cells = keys.select(F.explode(slots).alias("slot")).groupBy(F.shiftrightunsigned(slot, 6).alias("cell")).agg(F.bit_or(bit).alias("b"))
     out = np.zeros(1 << (bits - 6), np.int64)
     found = cells.toArrow()
     out[found.column("cell").to_numpy()] = found.column("b").to_numpy()
@@ -161,8 +169,11 @@ def bitmap(keys: DataFrame, name: str, bits: int = BITS) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - (len(bits) * 64 - 1).bit_length())
-    return (bits.view(np.uint64)[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    """Whether both bits of a key are there."""
+    cells, n = bits.view(np.uint64), np.uint64(len(bits) * 64)
+    upper, lower = keys >> np.uint64(64 - (len(bits) * 64 - 1).bit_length()), keys & (n - np.uint64(1))
+    held = lambda slot: (cells[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return held(upper) & held(lower)
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -171,7 +182,7 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def window_keys(windows: np.ndarray) -> np.ndarray:
-    return _mix((windows * np.array(_ODD)).sum(axis=1, dtype=np.uint64))
+    return _mix((windows * np.array(_ODD[: windows.shape[1]])).sum(axis=1, dtype=np.uint64))
 
 
 def _chains(batches: Iterator[pa.RecordBatch], seed: int, words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -189,43 +200,54 @@ def _chains(batches: Iterator[pa.RecordBatch], seed: int, words: np.ndarray) ->
 
 
 def count_pairs(docs: DataFrame, words: np.ndarray, seed: int = 0) -> DataFrame:
-    """pair, n: how often neighbours that may both be frequent occur, by the hash of both."""
+    """w1, w2, n: how often neighbours that may both be frequent occur."""
     spark = docs.sparkSession
-    fields = spark.createDataFrame([], "pair long, n long").schema
+    fields = spark.createDataFrame([], "w1 long, w2 long, n long").schema
     out_schema, shared = arrow_schema(fields), spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear_worker()
-        held, size = [], 0
 
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return batch_of(out_schema, [keys.view(np.int64), counts])
-
-        for ids, starts in _chains(batches, seed, shared.value):
-            both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-            both = both[both < starts]
-            held.append(pair_keys(ids[both], ids[both + 1]))
-            size += len(both)
-            if size > PAIRS_HELD:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+        def found():
+            for ids, starts in _chains(batches, seed, shared.value):
+                both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+                both = both[both < starts]
+                yield np.column_stack([ids[both], ids[both + 1]])
+
+        for pairs, n in combined(found(), PAIRS_HELD):
+            yield batch_of(out_schema, [*_columns(pairs), n])
+
+    return _texts(docs).mapInArrow(run, fields).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+
+
+def with_keys(pairs: DataFrame) -> DataFrame:
+    """pairs (w1, w2, n) with the key that tells them in filters."""
+    fields = pairs.sparkSession.createDataFrame([], "w1 long, w2 long, n long, pair long").schema
+    out_schema = arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w1, w2 = (b.column(w).to_numpy().view(np.uint64) for w in ("w1", "w2"))
+            yield batch_of(out_schema, [b.column("w1"), b.column("w2"), b.column("n"), pair_keys(w1, w2).view(np.int64)])
+
+    return pairs.select("w1", "w2", "n").mapInArrow(run, fields)
 
-    return _texts(docs).mapInArrow(run, fields).groupBy("pair").agg(F.sum("n").alias("n"))
+
+def _columns(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[:, k].copy().view(np.int64) for k in range(rows.shape[1])]
 
 
 WINDOW = ("w1", "w2", "w3", "w4", "w5")
 
 
 def windows_of(ids: np.ndarray, starts: int, pairs: np.ndarray) -> np.ndarray:
-    """For each place where a pair that may be frequent begins: its words as far as pairs are, LONGEST at most, then zeros."""
-    if len(ids) < 2:
+    """For each place where a pair that may be frequent begins and one follows: the words as far as pairs are, LONGEST at most, then zeros."""
+    if len(ids) < 3:
         return np.zeros((0, LONGEST), np.uint64)
     linked = (ids[:-1] != 0) & (ids[1:] != 0)
     linked[linked] = marked(pairs, pair_keys(ids[:-1][linked], ids[1:][linked]))
-    begins = np.flatnonzero(linked[:starts])
+    begins = np.flatnonzero(linked[:-1] & linked[1:])
+    begins = begins[begins < starts]
     out = np.zeros((len(begins), LONGEST), np.uint64)
     padded, on = np.append(ids, np.zeros(LONGEST, np.uint64)), np.append(linked, np.zeros(LONGEST, bool))
     out[:, 0], alive = ids[begins], np.ones(len(begins), bool)
@@ -235,12 +257,35 @@ def windows_of(ids: np.ndarray, starts: int, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with the counts of equal neighbours summed, after a sort by hash (so nearly all equal ones are neighbours)."""
-    order = np.argsort(window_keys(windows), kind="stable")
-    windows, counts = windows[order], counts[order]
-    first = np.flatnonzero(np.r_[True, (windows[1:] != windows[:-1]).any(axis=1)])
-    return windows[first], np.add.reduceat(counts, first)
+def counted(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the counts of equal neighbours summed, after a sort by hash (so nearly all equal ones are neighbours)."""
+    order = np.argsort(window_keys(rows), kind="stable")
+    rows, counts = rows[order], counts[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    return rows[first], np.add.reduceat(counts, first)
+
+
+def combined(parts: Iterator[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Equal rows of parts with their counts, combined as far as `most` different ones go."""
+    taken, size, held = [], 0, None
+
+    def together():
+        every = np.concatenate([*([held[0]] if held else []), *taken])
+        return counted(every, np.concatenate([*([held[1]] if held else []), np.ones(size, np.int64)]))
+
+    for part in parts:
+        if len(part):
+            taken.append(part)
+            size += len(part)
+        if size > AT_ONCE:
+            held, taken, size = together(), [], 0
+            if len(held[0]) > most:
+                yield held
+                held = None
+    if size:
+        held = together()
+    if held:
+        yield held
 
 
 def project(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: list[int], seed: int = 0) -> DataFrame:
@@ -252,29 +297,17 @@ def project(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear_worker()
         words, pairs, hot = shared.value
-        held, size = [], 0
-
-        def flush():
-            every = np.concatenate(held)
-            every, n = counted(every, np.ones(len(every), np.int64))
+        found = (windows_of(ids, starts, pairs) for ids, starts in _chains(batches, seed, words))
+        for every, n in combined(found, WINDOWS_HELD):
             salts = 1 + (window_keys(every) % np.uint64(HOT)).astype(np.int32)
             is_hot = np.isin(pair_keys(every[:, 0], every[:, 1]), hot)
-            return batch_of(out_schema, [*(every[:, k].copy().view(np.int64) for k in range(LONGEST)), np.where(is_hot, salts, 0).astype(np.int32), n])
-
-        for ids, starts in _chains(batches, seed, words):
-            held.append(windows_of(ids, starts, pairs))
-            size += len(held[-1])
-            if size > WINDOWS_HELD:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+            yield batch_of(out_schema, [*_columns(every), np.where(is_hot, salts, 0).astype(np.int32), n])
 
     return _texts(docs).mapInArrow(run, fields)
 
 
 def grown(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases and counts from sorted batches (windows, salts, counts): depth by depth the runs of equal prefixes.
+    """Phrases of three words and more, and counts, from sorted batches (windows, salts, counts): depth by depth the runs of equal prefixes.
 
     Runs that a batch leaves open go on in the next one. Runs below least are let go, but for salted ones, which are parts.
     """
@@ -287,7 +320,7 @@ def grown(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: i
     for windows, salts, counts in batches:
         if not len(windows):
             continue
-        for depth in range(2, LONGEST + 1):
+        for depth in range(3, LONGEST + 1):
             rows = np.flatnonzero(windows[:, depth - 1])
             if not len(rows):
                 continue
@@ -308,7 +341,7 @@ def grown(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], least: i
 
 
 def frequent_phrases(projected: DataFrame, least: int) -> DataFrame:
-    """ids (array of 2 to 5), f of every phrase with f >= least."""
+    """ids (array of 3 to 5), f of every phrase with f >= least."""
     spark = projected.sparkSession
     fields = spark.createDataFrame([], ", ".join(f"{w} long" for w in WINDOW) + ", f long").schema
     out_schema = arrow_schema(fields)
@@ -322,7 +355,7 @@ def frequent_phrases(projected: DataFrame, least: int) -> DataFrame:
 
         for phrases, f in grown(arrays(), least):
             if len(f):
-                yield batch_of(out_schema, [*(phrases[:, k].copy().view(np.int64) for k in range(LONGEST)), f])
+                yield batch_of(out_schema, [*_columns(phrases), f])
 
     dealt = projected.repartition(n_shuffle(spark), "w1", "w2", "salt").sortWithinPartitions("salt", *WINDOW)
     parts = dealt.mapInArrow(run, fields)
@@ -364,11 +397,12 @@ def mine(docs: DataFrame, most: int = 2000, least: int = 100, drop_percent: int
     totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")), "words-totals")
     frequent = materialise(words.where(F.col("n") >= least), "words-frequent")
     word_bits = bitmap(frequent, "id")
-    pairs = materialise(count_pairs(docs, word_bits, seed).where(F.col("n") >= least), "pairs")
+    pairs = materialise(with_keys(count_pairs(docs, word_bits, seed).where(F.col("n") >= least)), "pairs")
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = [r["pair"] for r in pairs.where(F.col("n") * HOT > total).select("pair").collect()]  # fewer than HOT, as pairs are not more than words
     projected = project(docs, word_bits, bitmap(pairs, "pair"), hot, seed)
-    phrases = materialise(frequent_phrases(projected, least), "phrases")
+    longer = frequent_phrases(projected, least)
+    phrases = materialise(longer.unionByName(pairs.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("f"))), "phrases")
     return _ranked(spark, phrases, frequent, totals, most, drop_percent)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+from sievemark.llm import decontaminate as D
 from sievemark.llm.decontaminate import ERROR_RATE, Matcher, distance_in, masks, normalised
 
 
@@ -46,3 +47,37 @@ def test_edge_texts(spark):
     # rows with a null doc_id are judged like others
     assert sorted(r["doc_id"] or 0 for r in clean(docs, bench).collect()) == [1, 2]
     assert matches(docs.limit(0), bench).count() == 0
+
+
+def least_edits(item, text):
+    """The least edit distance of an item to any part of a text, by the plain recurrence, a row at a time."""
+    import numpy as np
+
+    codes = np.array([ord(c) for c in text], np.int64)
+    at = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for c in item:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+def test_the_query_against_the_plain_recurrence(spark):
+    """Every document against every item of the smallest tables, and some changed on purpose."""
+    import os
+
+    from sievemark.llm import queries
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    texts = {r["doc_id"]: D.normalised(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r["item_id"]: D.normalised(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {}
+    for doc, text in texts.items():
+        for name, item in items.items():
+            n = least_edits(item, text)
+            if n <= int(D.ERROR_RATE * len(item)):
+                want[doc, name] = n
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in queries.QUERIES["op4_decontaminate"](spark, sf).collect()}
+    assert got == want and len(want) > 0
