@@ -56,3 +56,12 @@ def test_no_row_is_a_meeting(places):
     """The plan joins no two sides by hash and moves no pairs: rows go to cells, and pairs leave them."""
     plan = S.weighted_jaccard(places.select("doc_id", "hash").distinct())._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_matches_of_no_two_references(spark):
+    unit = {"file": "text", "start": 1, "end": 1, "unit_type": "METHOD", "unit_start": 1, "unit_end": 5}
+    prints = spark.createDataFrame([(1, "h", True), (2, "h", True), (3, "h", False)], "doc_id long, hash string, ref boolean")
+    for c in B.UNIT:
+        prints = prints.withColumn(c, F.lit(unit.get(c)))
+    found = B.matches(prints, is_ref="ref")
+    assert sorted((r["doc_id_a"], r["doc_id_b"]) for r in found.collect()) == [(1, 3), (2, 3)]
