@@ -102,6 +102,22 @@ def test_set_join_expanded_is_the_plain_one(spark, sets):
     assert {(r[0], r[1]): r[3] for r in rows(J.expanded(*J.pairs_over(prints, 0.6)))} == some
 
 
+@pytest.mark.parametrize("most", [1, 20, 400, 100_000])
+def test_top_is_that_of_all_pairs(spark, sets, most):
+    copies = {i: {"only", "of", "copies"} for i in range(1000, 1030)}  # one class with more pairs than asked for
+    prints = spark.createDataFrame([(i, h) for i, s in (sets | copies).items() for h in s], "doc_id long, hash string")
+    want = sorted(map(tuple, S.weighted_jaccard(prints).collect()), key=lambda r: (-r[3], r[0], r[1]))[:most]
+    assert list(map(tuple, J.top(prints, most).collect())) == want
+
+
+def test_hashes_of_one_set_go_no_further_than_their_count(spark):
+    prints = spark.createDataFrame([(i, f"own{i}-{j}") for i in range(6) for j in range(50)] + [(i, "both") for i in range(6)], "doc_id long, hash string")
+    _, sets = J._weighed(prints, "doc_id")
+    assert sets.count() == 6
+    pairs = rows(J.similarity(J.pairs_over(prints, 0)[0]))
+    assert [r[:2] + r[3:] for r in pairs] == [r[:2] + r[3:] for r in rows(S.weighted_jaccard(prints))]
+
+
 def test_a_hot_hash_is_in_no_single_task(spark):
     """2,000 sets share a hash and nothing else: with a threshold they never meet; without one, no task of the join sees them all."""
     prints = spark.range(4000).select((F.col("id") % 2000).alias("doc_id"), F.when(F.col("id") < 2000, "hot").otherwise(F.col("id").cast("string")).alias("hash"))
