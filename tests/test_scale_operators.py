@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievemark.operators import blocks as B
@@ -192,3 +193,47 @@ def test_weak_blocks_stand_in_where_no_strong_one_is(spark):
     chosen = spark.createDataFrame([("a", "c")], "doc_id_a string, doc_id_b string")
     got = B.weak_fallback(blocks, chosen).orderBy("place").collect()
     assert [r["from_a"] for r in got] == [11, 10, 9, 8, 7, 6, 5, 4] and {r["doc_id_b"] for r in got} == {"b"}
+
+
+# --- reports of runs
+
+
+def _runs(spark):
+    value = lambda n: (F.col("id") * 7919 % n).cast("double")
+    rows = spark.range(400).select((F.col("id") % 3).alias("run_id"), F.col("id").alias("line"), *[F.when(F.col("id") % 11 != i, value(i + 2)).alias(k) for i, k in enumerate(X.RANKED)])
+    name = lambda n, by: F.when(F.col("line") % 13 == 0, "").when(F.col("line") % 17 == 0, None).when(F.col("line") % by == 0, F.concat(F.lit("_ref_"), (F.col("line") % n).cast("string"))).otherwise((F.col("line") % n).cast("string"))
+    return rows.withColumns({"student_1": name(31, 5), "student_2": name(29, 7)})
+
+
+def test_both_places_come_from_one_sort(spark):
+    out = X.rankings(_runs(spark), ["run_id"], "line")
+    place = lambda order: F.row_number().over(Window.partitionBy("run_id").orderBy(order, "line"))
+    want = _runs(spark).withColumns({f"{k}_{way}": place(getattr(F, way)(k)) for k in X.RANKED for way in ("desc", "asc")})
+    assert rows(out.select(want.columns)) == rows(want)
+    plan = X.rankings(_runs(spark), ["run_id"], "line")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= len(X.RANKED)
+
+
+def test_labels_by_first_appearance_without_a_join(spark):
+    numbered = X.numbered(_runs(spark), "run_id", "line").cache()
+    got = X.anonymised(numbered, "run_id")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    seen, want = {}, []
+    for r in sorted(numbered.collect(), key=lambda r: (r["run_id"], r["pair_index"])):
+        names = []
+        for c in ("student_1", "student_2"):
+            s = r[c]
+            if s:
+                of = seen.setdefault((r["run_id"], s.startswith("_ref_")), {})
+                n = of.setdefault(s, len(of))
+                s = f"Ref {chr(65 + n % 26)}" if s.startswith("_ref_") else f"Student {chr(65 + n) if n < 26 else chr(64 + n // 26) + chr(65 + n % 26)}"
+            names.append(s)
+        want.append((r["run_id"], r["pair_id"], *names, r["severity_score"]))
+    assert got.columns == numbered.columns
+    assert rows(got.select("run_id", "pair_id", "student_1", "student_2", "severity_score")) == sorted(want, key=repr)
+
+
+def test_runs_are_dealt_by_the_size_of_the_table(spark, tmp_path):
+    spark.range(3_000_000).select((F.col("id") % 10).alias("run_id"), F.rand(1).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert X.dealt(table, "run_id", table).rdd.getNumPartitions() > 16
