@@ -237,3 +237,13 @@ def test_runs_are_dealt_by_the_size_of_the_table(spark, tmp_path):
     spark.range(3_000_000).select((F.col("id") % 10).alias("run_id"), F.rand(1).alias("x")).coalesce(1).write.parquet(f"{tmp_path}/t")
     table = spark.read.parquet(f"{tmp_path}/t")
     assert X.dealt(table, "run_id", table).rdd.getNumPartitions() > 16
+
+
+@pytest.mark.parametrize("whole", [64, 3])
+def test_files_of_all_pairs(spark, whole):
+    made = [(i % 40, f"d{i % 2}/{'fFgh'[i % 4]}", f"h{(i * 31) % 53}") for i in range(240)] + [(50, None, "h1"), (51, "x/f", None), (51, "x/f", "h2"), (52, "y/f", "h2")]
+    prints = spark.createDataFrame(made, "doc_id long, file string, hash string")
+    pairs = S.candidate_pairs(prints.select("doc_id", "hash").where("hash is not null").distinct())
+    got = B.file_similarity_of_all(prints, whole=whole)
+    assert rows(got) == rows(B.file_similarity(prints, pairs))
+    assert got.count() > 50
