@@ -1,18 +1,29 @@
-"""Tokens, adaptive k-grams and winnowed fingerprints, per document and without a shuffle."""
+"""Tokens, adaptive k-grams and winnowed fingerprints, per document and without a shuffle but for that of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+from collections.abc import Callable, Iterator
+from hashlib import md5
+from itertools import islice
+
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark import params as P
-from sievemark.sources.stored import stored
 
 WORD = r"[\p{L}\p{N}]+"
 #: Bytes of a text beyond which it goes in segments, and characters of a segment.
 LONG_BYTES, SEGMENT_CHARS = 4 << 20, 1 << 18
+#: Tokens within which a stretch's neighbours have to hold what its windows need, and bytes of rows that a task tells at once.
+REACH, BATCH_BYTES = 64, 4 << 20
 #: Bytes of a scan for each task, so that a task's memory does not grow with the input.
 SPLIT_BYTES = 8 << 20
+#: A size beyond that of any table: the planner does not know.
+UNKNOWN_BYTES = 1 << 53
 #: Characters of a hash, and digits and last of a place.
 HEX, DIGITS, LAST = 32, 9, 999_999_999
 
@@ -100,8 +111,7 @@ def all_hashes(docs: DataFrame, longest: int = LONG_BYTES) -> DataFrame:
     short, long = by_length(docs.select("text"), longest)
     out = with_grams(tokenised(spread(short))).select(F.explode_outer("grams").alias("g")).select(F.col("g.h").alias("hash")).where("hash is not null")
     if long is not None:
-        of = segment_grams(long.withColumn("_key", F.lit(0)), "_key")
-        out = out.unionByName(of.select(F.explode("grams").alias("g")).select(F.col("g.h").alias("hash")))
+        out = out.unionByName(segmented(long.withColumn("_key", F.lit(0)), "_key", every=True).select("hash"))
     return out.distinct()
 
 
@@ -114,10 +124,12 @@ def by_length(docs: DataFrame, longest: int) -> tuple[DataFrame, DataFrame | Non
     return docs.where(~F.coalesce(long, F.lit(False))), found
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs over a part for each SPLIT_BYTES that the planner expects, and for each core at least: tokens cost more than the move of a text."""
+def spread(docs: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """docs over a part for each SPLIT_BYTES that the planner expects (of sized, if given), and for each core at least: tokens cost more than the move of a text."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    expected = int(str((docs if sized is None else sized)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected > UNKNOWN_BYTES:  # what the planner says of rows from Python
+        return docs.repartition(max(cores, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return docs.repartition(max(cores, -(-expected // SPLIT_BYTES)))
 
 
@@ -134,68 +146,119 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", longest: int = LONG_BYTES
 
 # --- texts of any length
 
+_WORD = regex.compile(WORD)
+
 
-def _segments(docs: DataFrame, key: str, chars: int) -> DataFrame:
-    """row, key, seg, tokens (struct of t and line) of each stretch of a text; cut where no word is cut. Written, so that rows keep their number."""
-    # some characters up to white space, else up to a border of a word, else a whole word that is longer
-    cut = rf"[\s\S]{{1,{chars}}}(?:(?=\s)|\z)|[\s\S]{{1,{chars}}}(?:(?<=[^\p{{L}}\p{{N}}])|(?=[^\p{{L}}\p{{N}}]))|[\p{{L}}\p{{N}}]+"
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    pieces = numbered.select("row", F.col(key), F.posexplode(F.regexp_extract_all("text", F.lit(cut), F.lit(0))).alias("seg", "piece"))
-    pieces = stored(pieces, "segments")
-    lower = F.split(F.lower("piece"), "\n", -1)
-    tokens = F.flatten(F.transform(lower, lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), lambda t: F.struct(t.alias("t"), i.cast("int").alias("line")))))
-    return pieces.select("row", key, "seg", tokens.alias("tokens"), (F.size(lower) - 1).alias("breaks"))
+def _step(n: int, steps, last: int) -> int:
+    return next((value for below, value in steps if n < below), last)
 
 
-def _following(rows: DataFrame, head: str, most: int, ahead: int) -> Column:
-    """The first ahead elements of what follows a row in its text: of the heads of the next rows, which have an element at least each."""
-    order = Window.partitionBy("row").orderBy("seg")
-    heads = [F.coalesce(F.lead(head, i).over(order), F.slice(head, 1, 0)) for i in range(1, most + 1)]
-    return F.slice(F.concat(*heads), 1, ahead)
+def _kept(tokens: list[str], k: int, least: int) -> list[int]:
+    """Where the k-grams with enough different tokens begin."""
+    return [i for i in range(len(tokens) - k + 1) if len(set(tokens[i : i + k])) >= least]
 
 
-def segment_grams(docs: DataFrame, key: str, chars: int = SEGMENT_CHARS) -> DataFrame:
-    """row, key, seg, k, w, grams (i, h, start, end) of each segment, those included that end in a later one.
+def _stretches(text: str, chars: int) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """A text in lower case in stretches of about chars: the text of each, n_tokens (of the whole text), the index and line of its first token, and from and to which k-gram it is.
 
-    k, w and the least number of different tokens are those of the whole text. Between segments go their sizes and first tokens only.
+    A stretch holds its neighbours' nearest w - 1 kept k-grams besides, so each of its own stands in all its windows. Where these do not lie
+    within REACH tokens (long runs of few words) no cut is made. k, w and the least number of different tokens are those of the whole text.
     """
-    longest = P.K_LAST - 1
-    segments = _segments(docs, key, chars)
-    whole = Window.partitionBy("row")
-    before = whole.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = segments.select("row", "seg", F.size("tokens").alias("n"), "breaks", F.slice("tokens", 1, longest).alias("head"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    sizes = sizes.select("row", "seg", "n", F.sum("n").over(whole).alias("n_tokens"), zero(F.sum("n").over(before)).alias("first"), (zero(F.sum("breaks").over(before)) + 1).cast("int").alias("line"), "head")
-    sizes = sizes.withColumn("head", F.transform("head", lambda t: F.struct(t["t"].alias("t"), (t["line"] + F.col("line")).alias("line")))).where("n > 0")
-    sizes = sizes.withColumn("after", _following(sizes, "head", longest, longest)).drop("head", "n")
-    sizes = sizes.withColumn("k", adaptive_k(F.col("n_tokens"))).withColumn("w", adaptive_window(F.col("n_tokens")))
-    joined = segments.drop("breaks").join(sizes, ["row", "seg"])
-    own = F.transform("tokens", lambda t: F.struct(t["t"].alias("t"), (t["line"] + F.col("line")).alias("line")))
-    rows = joined.withColumn("tokens", F.concat(own, F.slice("after", 1, F.col("k") - 1)))
-    rows = rows.withColumns({"t": F.col("tokens.t"), "lines": F.col("tokens.line")})
-    grams = grams_of(F.col("t"), F.col("k"), F.when(F.col("n_tokens") < P.SHORT_TOKENS, 2).otherwise(3), F.lit(0))
-    line = lambda i: F.element_at("lines", i.cast("int"))
-    placed = F.transform("grams", lambda g: F.struct((g["i"] + F.col("first")).cast("int").alias("i"), g["h"].alias("h"), line(g["i"] + 1).alias("start"), line(g["i"] + F.col("k")).alias("end")))
-    return rows.withColumn("grams", grams).select("row", key, "seg", "k", "w", placed.alias("grams"))
-
-
-def segmented(docs: DataFrame, key: str = "doc_id", chars: int = SEGMENT_CHARS) -> DataFrame:
-    """fingerprints() of texts of any length, cut into segments of about so many characters; no row holds a whole text's tokens.
-
-    Windows go over k-grams that were kept, so a segment's windows need the first w - 1 kept ones of what follows: the next segments that
-    kept any have them. A minimum that windows of two segments choose comes once. Repeated rows of docs give repeated rows.
+    n = sum(1 for _ in _WORD.finditer(text))
+    k, w, least = _step(n, P.K_STEPS, P.K_LAST), _step(n, P.WINDOW_STEPS, P.WINDOW_LAST), 2 if n < P.SHORT_TOKENS else 3
+    recent: deque[tuple[int, int]] = deque(maxlen=REACH)  # where the last tokens stand
+    start = low = first = 0  # of the stretch: its text, own k-grams and first token
+    line, goal = 1, chars
+    for i, found in enumerate(_WORD.finditer(text)):
+        at = found.start()
+        if at >= goal and i > low:
+            goal = at + chars
+            ahead = [m.span() for m in islice(_WORD.finditer(text, at), REACH)]
+            after = _kept([text[a:b] for a, b in ahead], k, least)
+            behind = [*recent, *ahead[: k - 1]]
+            before = [j for j in _kept([text[a:b] for a, b in behind], k, least) if j < len(recent)]
+            if min(len(after), len(before)) >= w - 1:
+                yield text[start : ahead[after[w - 2] + k - 1][1]], n, first, line, low, i
+                begin = behind[before[1 - w]][0]
+                line += text.count("\n", start, begin) if begin >= start else -text.count("\n", begin, start)
+                start, low, first = begin, i, i - len(recent) + before[1 - w]
+        recent.append(found.span())
+    yield text[start:], n, first, line, low, n
+
+
+def _winnowed(hashes: list[str], w: int) -> list[int]:
+    """Where the minima of all windows stand, each window's rightmost one; of too few hashes, the leftmost."""
+    if len(hashes) < w:
+        return [hashes.index(min(hashes))] if hashes else []
+    out, least = [], -1
+    for end in range(w - 1, len(hashes)):
+        start = end - w + 1
+        if least < start:
+            least = start
+            for i in range(start + 1, end + 1):
+                if hashes[i] <= hashes[least]:
+                    least = i
+        elif hashes[end] <= hashes[least]:
+            least = end
+        if not out or out[-1] != least:
+            out.append(least)
+    return out
+
+
+def _prints(text: str, n: int, first: int, line: int, low: int, high: int, every: bool) -> Iterator[tuple[str, int, int, int]]:
+    """hash, pos, start, end of a stretch's own winnowed k-grams, or of all its own."""
+    k, w = _step(n, P.K_STEPS, P.K_LAST), _step(n, P.WINDOW_STEPS, P.WINDOW_LAST)
+    tokens, lines = [], []
+    for number, x in enumerate(text.split("\n"), line):
+        of = _WORD.findall(x)
+        tokens += of
+        lines += [number] * len(of)
+    kept = _kept(tokens, k, 2 if n < P.SHORT_TOKENS else 3)
+    hashes = [md5(" ".join(tokens[i : i + k]).encode()).hexdigest() for i in kept]
+    for j in range(len(kept)) if every else _winnowed(hashes, w):
+        i = kept[j]
+        if low <= first + i < high:
+            yield hashes[j], first + i, lines[i], lines[i + k - 1]
+
+
+def segmented(docs: DataFrame, key: str = "doc_id", chars: int = SEGMENT_CHARS, every: bool = False) -> DataFrame:
+    """fingerprints() of texts of any length, or every k-gram, in stretches of about so many characters; no row holds a whole text's tokens.
+
+    A text is cut where it is read, and what a stretch needs of its neighbours goes with it: stretches are dealt over the tasks once, and nothing
+    else is moved or met. A k-gram belongs to one stretch, so a minimum comes once. Repeated rows of docs give repeated rows.
     """
-    ahead = P.WINDOW_LAST - 1
-    grams = stored(segment_grams(docs, key, chars).where(F.size("grams") > 0), "segment-grams")
-    slim = grams.select("row", "seg", F.size("grams").alias("m"), F.slice("grams", 1, ahead).alias("head"))
-    slim = slim.withColumns({"after": _following(slim, "head", ahead, ahead), "m": F.sum("m").over(Window.partitionBy("row"))}).drop("head")
-    rows = grams.join(slim, ["row", "seg"])
-    back = lambda a: F.transform(a, lambda g: F.struct(g["h"].alias("h"), (-g["i"]).alias("i"), g["start"].alias("start"), g["end"].alias("end")))
-    every = F.concat("grams", F.slice("after", 1, F.col("w") - 1))
-    rows = rows.withColumn("right", back(every)).withColumn("left", F.transform("grams", lambda g: F.struct(g["h"].alias("h"), g["i"].alias("i"), g["start"].alias("start"), g["end"].alias("end"))))
-    last = F.size("right") - F.col("w") + 1
-    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_min(F.slice("right", i, F.col("w"))))).otherwise(F.slice("right", 1, 0))
-    chosen = rows.select("row", key, "m", "w", F.explode(F.array_distinct(windows)).alias("g")).where("m >= w").select("row", key, F.col("g.h").alias("hash"), (-F.col("g.i")).alias("pos"), F.col("g.start").alias("start"), F.col("g.end").alias("end")).distinct()
-    few = rows.where("m < w").select("row", key, F.explode("left").alias("g")).groupBy("row", key).agg(F.min("g").alias("g"))
-    few = few.select("row", key, F.col("g.h").alias("hash"), F.col("g.i").alias("pos"), F.col("g.start").alias("start"), F.col("g.end").alias("end"))
-    return chosen.unionByName(few).drop("row")
+    own = docs.schema[key].dataType
+    cut = T.StructType([T.StructField("key", own), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n", "first", "line", "low", "high"))])
+    made = T.StructType([T.StructField(key, own), T.StructField("hash", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end"))])
+
+    def by_batch(batch: pa.RecordBatch, of: Callable[[int], Iterator[tuple]], types: T.StructType) -> Iterator[pa.RecordBatch]:
+        """What each row gives, behind its key, some rows at a time."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(types)
+        at, rows, size = [], [], 0
+        for i in range(batch.num_rows):
+            for row in of(i):
+                at.append(i)
+                rows.append(row)
+                size += 64 + len(row[0])
+                if size > BATCH_BYTES:
+                    yield told(batch, at, rows, schema)
+                    at, rows, size = [], [], 0
+        if rows:
+            yield told(batch, at, rows, schema)
+
+    def told(batch: pa.RecordBatch, at: list[int], rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], schema=schema)
+
+    def into_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from by_batch(batch, lambda i, of=batch.column(1): _stretches(of[i].as_py(), chars), cut)  # noqa: B023
+
+    def into_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from by_batch(batch, lambda i, of=batch.columns[1:]: _prints(*(c[i].as_py() for c in of), every), made)  # noqa: B023
+
+    texts = docs.select(F.col(key).alias("key"), F.lower("text").alias("text")).where("text is not null")
+    return spread(texts.mapInArrow(into_stretches, cut), docs).mapInArrow(into_prints, made)

@@ -50,6 +50,18 @@ def test_repeated_rows_repeat(spark):
     assert rows(FP.segmented(docs, chars=60)) == rows(FP.fingerprints(docs, longest=1 << 30))
 
 
+def test_stretches_are_moved_once_and_whole(spark, texts):
+    """No join, no window and no distinct: texts are dealt once. A run of one word is not cut, what is cut belongs to one stretch."""
+    plan = FP.segmented(texts, chars=50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert not any(word in plan for word in ("Join", "Window", "Aggregate"))
+    text = "one two three four five six seven eight nine ten " * 100 + "a " * 2000 + "b c d e f g h i j " * 100
+    cut = list(FP._stretches(text, 60))
+    assert len(cut) > 20
+    assert [c[4] for c in cut[1:]] == [c[5] for c in cut[:-1]] and cut[0][4] == 0 and cut[-1][5] == 3900
+    assert rows(FP.segmented(spark.createDataFrame([(1, text)], "doc_id long, text string"), chars=60)) == rows(FP.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), longest=1 << 30))
+
+
 # --- weighted set join
 
 
