@@ -5,8 +5,10 @@ Everything is per language. A word goes by a 64-bit hash of language and word, w
 1. Words are counted. A phrase is frequent only if its words are, and its pairs of neighbours.
 2. Pairs of neighbouring frequent words are counted, which are the phrases of two words and the prefixes of all others. Filters
    of fixed size tell frequent words and pairs; a rare one that passes costs work and never a result.
-3. Projection: every occurrence of a frequent pair that a frequent pair follows gives what stands from there on, up to
-   five words and as far as pairs are frequent. Equal ones are counted before they are shuffled by their prefix, the pair.
+3. Three words that are not frequent are let go by their slot, in which all threes of one hash are counted: each task counts in slots of
+   fixed number, and the tasks' slots are summed. A slot that reaches the threshold by several rare ones costs work and never a result.
+   Projection: every occurrence of three words that may be frequent gives what stands from there on, up to five words and as far as
+   threes may be frequent. Equal ones are counted before they are shuffled by their prefix, the pair.
 4. Growth: within the task of a prefix its projected occurrences are sorted, so the occurrences of each longer prefix are
    a run within the run of the shorter one; one pass grows all of them depth-first, to the right, with
    a counter for each depth. So no prefix has to fit in memory. Prefixes with over a thousandth of all occurrences are
@@ -35,6 +37,8 @@ LONGEST = 5
 BITS, SLICE = 27, 4_000_000
 #: Different words, pairs and windows that a task counts before it sends them on, and how many of them it takes in at once.
 WORDS_HELD, PAIRS_HELD, WINDOWS_HELD, AT_ONCE = 400_000, 1_200_000, 500_000, 250_000
+#: Slots in which threes are counted, and slots of a row (a byte or more each).
+THREES, ROW_SLOTS = 1 << 24, 1 << 16
 #: A prefix with more than one in HOT of all words is dealt over as many tasks by what follows.
 HOT = 1024
 #: Buckets in which the first phrases of a language are sought before they meet.
@@ -240,19 +244,77 @@ def _columns(rows: np.ndarray) -> list[np.ndarray]:
 WINDOW = ("w1", "w2", "w3", "w4", "w5")
 
 
-def windows_of(ids: np.ndarray, starts: int, pairs: np.ndarray) -> np.ndarray:
-    """For each place where a pair that may be frequent begins and one follows: the words as far as pairs are, LONGEST at most, then zeros."""
+def threes_of(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where three words begin of whose pairs both may be frequent."""
     if len(ids) < 3:
-        return np.zeros((0, LONGEST), np.uint64)
+        return np.zeros(0, np.int64)
     linked = (ids[:-1] != 0) & (ids[1:] != 0)
     linked[linked] = marked(pairs, pair_keys(ids[:-1][linked], ids[1:][linked]))
-    begins = np.flatnonzero(linked[:-1] & linked[1:])
-    begins = begins[begins < starts]
+    return np.flatnonzero(linked[:-1] & linked[1:])
+
+
+def three_slots(ids: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
+    return (window_keys(np.column_stack([ids[at], ids[at + 1], ids[at + 2]])) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def count_threes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, least: int, seed: int = 0, slots: int = THREES) -> np.ndarray:
+    """Which slots hold at least so many occurrences of threes, a bit each; of fixed size on the driver.
+
+    A task's counts stop at least, which is all that a sum has to know, so a slot is a byte where least is below 256.
+    """
+    spark = docs.sparkSession
+    per_row = min(ROW_SLOTS, slots)
+    fields = spark.createDataFrame([], "part int, counts binary").schema
+    out_schema, shared = arrow_schema(fields), spark.sparkContext.broadcast((words, pairs))
+    kind = np.min_scalar_type(least)
+
+    def rows(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for part, counts in parts.items():
+            yield batch_of(out_schema, [[part], [counts.tobytes()]])
+
+    def add(parts: dict[int, np.ndarray], part: int, at: np.ndarray | slice, counts: np.ndarray) -> None:
+        held = parts.setdefault(part, np.zeros(per_row, kind))
+        held[at] = np.minimum(held[at].astype(np.int64) + counts, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
+        words, pairs = shared.value
+        parts: dict[int, np.ndarray] = {}
+        for ids, starts in _chains(batches, seed, words):
+            at = threes_of(ids, pairs)
+            found, n = np.unique(three_slots(ids, at[at < starts], slots), return_counts=True)
+            of, first = np.unique(found // per_row, return_index=True)
+            for part, start, end in zip(of.tolist(), first, [*first[1:], len(found)]):  # noqa: B905, as there may be none
+                add(parts, part, found[start:end] % per_row, n[start:end])
+        yield from rows(parts)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column("part").to_pylist(), b.column("counts"), strict=True):
+                add(parts, part, slice(None), np.frombuffer(counts.as_buffer(), kind))
+        yield from rows({part: np.packbits(counts >= least, bitorder="little") for part, counts in parts.items()})
+
+    found = _texts(docs).mapInArrow(run, fields).repartition(n_shuffle(spark), "part").mapInArrow(summed, fields).toArrow()
+    out = np.zeros((slots // per_row, per_row // 8), np.uint8)
+    for part, bits in zip(found.column("part").to_pylist(), found.column("counts").to_pylist(), strict=True):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def windows_of(ids: np.ndarray, starts: int, pairs: np.ndarray, threes: np.ndarray | None = None) -> np.ndarray:
+    """For each place where three words begin that may be frequent (all, without threes): the words as far as threes are, LONGEST at most, then zeros."""
+    every = threes_of(ids, pairs)
+    if threes is not None and len(every):
+        slot = three_slots(ids, every, len(threes) * 8)
+        every = every[(threes[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
+    begins = every[every < starts]
     out = np.zeros((len(begins), LONGEST), np.uint64)
-    padded, on = np.append(ids, np.zeros(LONGEST, np.uint64)), np.append(linked, np.zeros(LONGEST, bool))
-    out[:, 0], alive = ids[begins], np.ones(len(begins), bool)
-    for k in range(1, LONGEST):
-        alive &= on[begins + k - 1]
+    padded, on = np.append(ids, np.zeros(LONGEST, np.uint64)), np.zeros(len(ids) + LONGEST, bool)
+    on[every] = True
+    out[:, 0], out[:, 1], alive = padded[begins], padded[begins + 1], np.ones(len(begins), bool)
+    for k in range(2, LONGEST):
+        alive &= on[begins + k - 2]
         out[alive, k] = padded[begins[alive] + k]
     return out
 
@@ -288,16 +350,16 @@ def combined(parts: Iterator[np.ndarray], most: int) -> Iterator[tuple[np.ndarra
         yield held
 
 
-def project(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: list[int], seed: int = 0) -> DataFrame:
+def project(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, threes: np.ndarray, hot: list[int], seed: int = 0) -> DataFrame:
     """The projected occurrences: w1 to w5, salt, n. salt is 0 but for hot pairs, whose windows are dealt by their hash."""
     spark = docs.sparkSession
     fields = spark.createDataFrame([], ", ".join(f"{w} long" for w in WINDOW) + ", salt int, n long").schema
-    out_schema, shared = arrow_schema(fields), spark.sparkContext.broadcast((words, pairs, np.array(sorted(hot), np.int64).view(np.uint64)))
+    out_schema, shared = arrow_schema(fields), spark.sparkContext.broadcast((words, pairs, threes, np.array(sorted(hot), np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clear_worker()
-        words, pairs, hot = shared.value
-        found = (windows_of(ids, starts, pairs) for ids, starts in _chains(batches, seed, words))
+        words, pairs, threes, hot = shared.value
+        found = (windows_of(ids, starts, pairs, threes) for ids, starts in _chains(batches, seed, words))
         for every, n in combined(found, WINDOWS_HELD):
             salts = 1 + (window_keys(every) % np.uint64(HOT)).astype(np.int32)
             is_hot = np.isin(pair_keys(every[:, 0], every[:, 1]), hot)
@@ -387,7 +449,7 @@ def mine(docs: DataFrame, most: int = 2000, least: int = 100, drop_percent: int
     l and r count the parts of the cut with the lowest score floor(1000 a n / (l r)), the first of several. A phrase goes if it lies within a longer one
     with 100 f(longer) >= drop_percent * a; as counts fall with length, one word longer is enough to look at. Order: score and a
     descending, then the phrase in the order of its UTF-8 bytes. A null lang is "und", null and empty texts have no words, ids do not matter,
-    repeated rows count each, and tables without a frequent phrase give no row. Texts are read three times; words and
+    repeated rows count each, and tables without a frequent phrase give no row. Texts are read four times; words and
     whole counts are shuffled, never texts.
     """
     if not 0 < drop_percent <= 100:
@@ -400,7 +462,8 @@ def mine(docs: DataFrame, most: int = 2000, least: int = 100, drop_percent: int
     pairs = materialise(with_keys(count_pairs(docs, word_bits, seed).where(F.col("n") >= least)), "pairs")
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = [r["pair"] for r in pairs.where(F.col("n") * HOT > total).select("pair").collect()]  # fewer than HOT, as pairs are not more than words
-    projected = project(docs, word_bits, bitmap(pairs, "pair"), hot, seed)
+    pair_bits = bitmap(pairs, "pair")
+    projected = project(docs, word_bits, pair_bits, count_threes(docs, word_bits, pair_bits, least, seed), hot, seed)
     longer = frequent_phrases(projected, least)
     phrases = materialise(longer.unionByName(pairs.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("f"))), "phrases")
     return _ranked(spark, phrases, frequent, totals, most, drop_percent)

@@ -203,6 +203,23 @@ def test_full_filters_change_no_result(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == plain_collocations(rows, 2000, 5)
 
 
+def test_rare_threes_are_not_projected(spark, monkeypatch):
+    """Random words have frequent pairs and rare threes, of which no row is made; full slots change no result."""
+    rng = np.random.default_rng(8)
+    rows = [("en", " ".join(f"w{i}" for i in rng.integers(0, 30, 400)) + " , one two three four") for _ in range(60)]
+    docs, made = documents(spark, [(i, t, lang) for i, (lang, t) in enumerate(rows)]), []
+    project = C.project
+    monkeypatch.setattr(C, "project", lambda *args: made.append(project(*args)) or made[-1])
+    want = plain_collocations(rows, 2000, 15)
+    assert len(want) > 500
+    assert sorted(tuple(r) for r in C.mine(docs, 2000, 15).collect()) == want
+    assert {tuple(r)[:5].count(0) for r in made[0].select(*C.WINDOW).collect()} <= {1, 2}
+    assert made[0].agg(F.sum("n")).first()[0] == 120
+    monkeypatch.setattr(C.count_threes, "__defaults__", (0, 8))
+    assert sorted(tuple(r) for r in C.mine(docs, 2000, 15).collect()) == want
+    assert made[1].agg(F.sum("n")).first()[0] > 20_000
+
+
 def test_long_texts_are_told_in_slices(monkeypatch):
     """The windows of a text are the same whether it comes whole or in slices that are cut anywhere."""
     text = (" ".join(f"{a} {b}, the end" for a, b in zip("abcdefghij" * 30, "klmnopqrst" * 30, strict=True)) + " ").encode()
