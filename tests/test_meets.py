@@ -65,3 +65,21 @@ def test_matches_of_no_two_references(spark):
         prints = prints.withColumn(c, F.lit(unit.get(c)))
     found = B.matches(prints, is_ref="ref")
     assert sorted((r["doc_id_a"], r["doc_id_b"]) for r in found.collect()) == [(1, 3), (2, 3)]
+
+
+def test_a_list_goes_to_the_blocks_that_have_it(spark):
+    """A list of two owners goes to one block of each, a common one to all: not every list to every block."""
+    rows = [(i, f"h{i // 2}") for i in range(400)] + [(i, "common") for i in range(400)]
+    posted = M._posted(spark.createDataFrame(rows, "doc_id long, hash string"), "doc_id", ())
+    owners = M._by_owner(posted, "doc_id", "sets", M.SETS, 16).collect()
+    assert len(owners) == 400
+    for o in owners:
+        assert sorted(len(e["others"]) for e in o["sets"]) == [1, 16]
+        assert o["n"] == 2 and o["w"] == sum(e["w"] for e in o["sets"])
+
+
+def test_totals_beyond_64_bits_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(M, "LONE", 8 * 10**18)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "doc_id long, hash string")
+    with pytest.raises(Exception, match="more hashes than weights"):
+        S.weighted_jaccard(rows).collect()
