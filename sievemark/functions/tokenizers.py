@@ -4,7 +4,8 @@
     spark.sql("SELECT * FROM tokenize(TABLE(SELECT doc_id, text FROM documents), kind => 'prose')")
 
 The result has the table's columns but its text, then pos (from 0), token and line (from 1), a row for each token. kind is a name of
-TOKENIZERS, or 'path': then the column path tells by its extension, and files of other kinds give no rows.
+TOKENIZERS, or 'path': then the column path tells by its extension, and files of other kinds give no rows. With first => true there is a column
+first besides: whether the token stands in the text for the first time, so different tokens are counted without a move of them.
 """
 
 from __future__ import annotations
@@ -61,17 +62,18 @@ class _Result(AnalyzeResult):
     columns: tuple[str, ...] = ()
     text: str = "text"
     kind: str = "prose"
+    first: bool = False
 
 
 @udtf
 class Tokenize:
-    """tokenize(TABLE(...), kind => 'prose', text => 'text')."""
+    """tokenize(TABLE(...), kind => 'prose', text => 'text', first => false)."""
 
     def __init__(self, result: _Result):
-        self.columns, self.text, self.kind = result.columns, result.text, result.kind
+        self.columns, self.text, self.kind, self.first = result.columns, result.text, result.kind, result.first
 
     @staticmethod
-    def analyze(rows: AnalyzeArgument, kind: AnalyzeArgument, text: AnalyzeArgument | None = None) -> _Result:
+    def analyze(rows: AnalyzeArgument, kind: AnalyzeArgument, text: AnalyzeArgument | None = None, first: AnalyzeArgument | None = None) -> _Result:
         if not rows.isTable:
             raise ValueError("the first argument of tokenize is a table")
         name = text.value if text is not None else "text"
@@ -82,14 +84,22 @@ class Tokenize:
             raise ValueError(f"the table has no column {name}" if name not in names else "the table has no column path")
         kept = [f for f in rows.dataType.fields if f.name != name]
         more = [T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("line", T.IntegerType())]
-        return _Result(T.StructType([*kept, *more]), columns=tuple(f.name for f in kept), text=name, kind=kind.value)
+        marked = first is not None and bool(first.value)
+        if marked:
+            more.append(T.StructField("first", T.BooleanType()))
+        return _Result(T.StructType([*kept, *more]), columns=tuple(f.name for f in kept), text=name, kind=kind.value, first=marked)
 
-    def eval(self, rows: Row, kind: str, text: str = "text") -> Iterator[tuple]:
+    def eval(self, rows: Row, kind: str, text: str = "text", first: bool = False) -> Iterator[tuple]:
         tokenizer = of_path(rows["path"]) if self.kind == "path" else TOKENIZERS[self.kind]
         if tokenizer is not None:
             own = tuple(rows[c] for c in self.columns)
+            seen: set[str] = set()
             for pos, (token, line) in enumerate(tokenizer.tokens(rows[self.text] or "")):
-                yield (*own, pos, token, line)
+                if self.first:
+                    yield (*own, pos, token, line, token not in seen)
+                    seen.add(token)
+                else:
+                    yield (*own, pos, token, line)
 
 
 def register(spark: SparkSession) -> None:
