@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark.operators import blocks as B
 from sievemark.operators import meets as M
 from sievemark.operators import similarity as S
+from sievemark.plans import engine
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,21 @@ def test_totals_beyond_64_bits_are_refused(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "doc_id long, hash string")
     with pytest.raises(Exception, match="more hashes than weights"):
         S.weighted_jaccard(rows).collect()
+
+
+@pytest.mark.parametrize("marks", ["doc_id % 5 = 0", "doc_id <> 99"])
+def test_prose_run_is_that_of_all_meetings(spark, marks):
+    """The report of cells equals that of meetings as rows; document 99 has no prints, so with "doc_id <> 99" all others are references."""
+    rows = [(i, f"h{(i * j) % 29}", (j * 7) % 23 + 1 + i % 3, (j * 7) % 23 + 1 + i % 3 + j % 2) for i in range(30) for j in range(14)]
+    rows += [(i, f"copy{j}", j + i % 2, j + i % 2) for i in (40, 41, 42, 45) for j in range(1, 40)]
+    prints = B.prose_units(spark.createDataFrame(rows, "doc_id long, hash string, start int, end int"))
+    everyone = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    taken = spark.createDataFrame([("t",)], "hash string")
+    got = engine.compare_prose(prints, everyone, taken, is_ref=F.expr(marks), key="doc_id")
+    want = engine.compare(prints, everyone, taken, is_ref=F.expr(marks), key="doc_id")
+    shown = ["doc_id_a", "doc_id_b", "block_id", "type", "from_a", "to_a", "from_b", "to_b", "length_a", "length_b", "file_a", "file_b", "name_a", "name_b", "density", "confidence"]
+    assert sorted(got.blocks.select(shown).collect(), key=repr) == sorted(want.blocks.select(shown).collect(), key=repr)
+    for part in ("scores", "pairs", "highlights", "metadata"):
+        of = getattr(want, part)
+        assert sorted(getattr(got, part).select(of.columns).collect(), key=repr) == sorted(of.collect(), key=repr), part
+    assert "Join" not in got.pairs._jdf.queryExecution().executedPlan().toString()
