@@ -36,3 +36,17 @@ def test_sets_are_those_of_the_expressions(spark):
 def test_no_expression_hashes_in_the_plan(spark):
     plan = FP.fingerprints(_docs(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "md5" not in plan
+
+
+def test_counts_of_units_whatever_the_way(spark):
+    """Told where the text is read, or added up: an id in two rows, and texts in segments."""
+    docs = _docs(spark)
+    near = FP.unit_counts(docs, 5)
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    tell = lambda rows: sorted(((r.doc_id, bytes(r.hash), r.unit or 0, r.m) for r in rows))
+    whole = lambda rows: sorted((r.doc_id, bytes(r.hash), r.whole) for r in rows if r.whole)
+    rows, far = near.collect(), FP.unit_counts(docs, 5, longest=300).collect()
+    assert tell(far) == tell(rows) and whole(far) == whole(rows)
+    assert sum(r.m for r in rows) == sum(r.whole or 0 for r in rows) == FP.fingerprints(docs).count()
+    twice = FP.unit_counts(docs.unionAll(docs), 5).collect()
+    assert tell(twice) == [(d, h, u, 2 * m) for d, h, u, m in tell(rows)] and whole(twice) == [(d, h, 2 * m) for d, h, m in whole(rows)]
